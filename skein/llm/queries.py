@@ -40,7 +40,7 @@ sized AS (
   FROM chunks c LEFT JOIN chunk_limits l ON lower(trim(c.chunk_type, ' ')) = l.chunk_type CROSS JOIN usual u
   WHERE c.page_content IS NOT NULL)
 SELECT chunk_key,
-  CASE WHEN list_max(list_transform(regexp_split_to_array(page_content, '[ \t\n\r\x0b\x0c\x{85}\x{2028}\x{2029}。！？]'), x -> length(x))) > max_chars
+  CASE WHEN list_max(list_transform(regexp_split_to_array(page_content, '[ \t\n\r\x0b\x0c\x{85}\x{2028}\x{2029}。！？]'), lambda x: length(x))) > max_chars
        THEN 'forced' ELSE 'natural' END AS cut
 FROM sized WHERE length(page_content) > max_chars
 """
