@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Most code points handled at a time.  A longer text is handled alone, whole.
 SLICE_POINTS = 2_000_000
@@ -55,13 +56,13 @@ def rebuild(points: np.ndarray, offsets: np.ndarray, valid: np.ndarray | None =
     mask = None if valid is None else pa.array(~valid)
     out = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(ends[offsets].tobytes()), pa.py_buffer(data))
     out = out.cast(pa.string()) if len(data) < 2**31 - 1 else out
-    return out if mask is None else pa.compute.if_else(mask, pa.scalar(None, out.type), out)
+    return out if mask is None else pc.if_else(mask, pa.scalar(None, out.type), out)
 
 
 def slices(texts: pa.Array, most: int = SLICE_POINTS) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose bytes together stay below ``most``; at least a row each."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-    size = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     total = np.cumsum(size)
     begin = 0
     while begin < len(size):

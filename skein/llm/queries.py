@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import splitting
+from . import leakage, lookalikes, splitting
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +24,20 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(sized).select("chunk_key", "piece_no", "piece_start", "piece_end", "forced", "piece")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.lookalike_pairs(_read(spark, sf_dir, "chunks"), "chunk_key", "page_content")
+
+
+def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "chunks").select("chunk_key", lookalikes.canonical(F.col("page_content")).alias("page_content"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_canonical": p4_canonical, "p6_found": p6_found}
 
 
 def oracle_sql() -> dict[str, str]:

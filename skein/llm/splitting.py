@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,7 +101,7 @@ def _cuts(texts: pa.Array, limits: np.ndarray, overlaps: np.ndarray) -> pa.Array
         pieces = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(forced)], ["piece_start", "piece_end", "forced"])
         valid = texts.slice(a, b - a).is_valid()
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces)
-        parts.append(pa.compute.if_else(valid, lists, pa.scalar(None, lists.type)))
+        parts.append(pc.if_else(valid, lists, pa.scalar(None, lists.type)))
     kind = pa.list_(pa.struct([("piece_start", pa.int32()), ("piece_end", pa.int32()), ("forced", pa.bool_())]))
     return pa.concat_arrays([x.cast(kind) for x in parts]) if parts else pa.array([], kind)
 
