@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, lookalikes, splitting
+from . import languages, leakage, lookalikes, mixing, splitting
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,8 +36,28 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = languages.train(_read(spark, sf_dir, "documents"))
+    return languages.label_cases(_read(spark, sf_dir, "chunks"), "chunk_key", "page_content", "language_detected", model)
+
+
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = languages.train(_read(spark, sf_dir, "documents"))
+    found = languages.language_segments(_read(spark, sf_dir, "chunks"), "page_content", model)
+    return found.select("chunk_key", F.explode("segments").alias("s")).select("chunk_key", "s.*")
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "source_weights"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "source_weights"))[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_canonical": p4_canonical, "p6_found": p6_found}
+    found = (p1_found, p1_pieces, p3_found, p3_segments, p4_found, p4_canonical, p6_found, p7_mix, p7_shares)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
