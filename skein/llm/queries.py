@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, leakage, lookalikes, mixing, splitting
+from . import languages, leakage, lookalikes, mixing, reading, splitting
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +55,21 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "source_weights"))[1]
 
 
+def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return reading.score(docs, reading.train(docs, _read(spark, sf_dir, "reading_labels")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graded(spark, sf_dir).where("band <> 'middle'").select("doc_id", "band")
+
+
+def p8_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graded(spark, sf_dir).select("doc_id", "grade", "band")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_pieces, p3_found, p3_segments, p4_found, p4_canonical, p6_found, p7_mix, p7_shares)
+    found = (p1_found, p1_pieces, p3_found, p3_segments, p4_found, p4_canonical, p6_found, p7_mix, p7_shares, p8_found, p8_grades)
     return {f.__name__: f for f in found}
 
 
