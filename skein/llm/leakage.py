@@ -3,8 +3,8 @@
 Letters and digits of a text form one stream, without case, blanks and signs.
 Its q-grams are looked up among those of the items; the shared ones are counted
 in overlapping bands of diagonals (place in the text less place in the item), and
-bands that reach the count which the allowed edits must leave are verified by a
-banded alignment of words.
+bands that reach the count which the allowed edits must leave are verified by an
+alignment of words around the runs that both hold.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .frames import flatten, owners, slices
 
 #: Letters of a q-gram.
 GRAM = 7
+#: Words in a row, without an edit, that every passage with one edit in eight words holds: of 7e words between e edits, e + 1 stretches, one has 5.
+RUN = 5
 #: Width of a band of diagonals; bands overlap by half, so words added or changed in a passage keep it in one band.
 BAND = 64
 #: Code points of a text looked at together, small enough for the processor's cache.
@@ -88,6 +90,7 @@ class Items:
         self.hashes, self.first, self.count = np.unique(hashes[order], return_index=True, return_counts=True)
         self.sieve = np.zeros(1 << SIEVE_BITS, bool)
         self.sieve[(self.hashes >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
+        self.runs = [_runs_of(t) for t in self.tokens]
         self.longest = max((len(s) for s in streams), default=0)
         self.least = np.array([self._least([len(w) for w in t]) for t in self.tokens], np.int64)
 
@@ -107,35 +110,58 @@ class Items:
         return max(1, least)
 
 
-def holds(item: list[str], text: list[str], words: int, rate: int) -> bool:
+def _runs_of(words: list[str]) -> dict[tuple[str, ...], list[int]]:
+    out: dict[tuple[str, ...], list[int]] = {}
+    for k in range(len(words) - RUN + 1):
+        out.setdefault(tuple(words[k : k + RUN]), []).append(k)
+    return out
+
+
+def _covered(a: list[str], b: list[str], most: int) -> list[int]:
+    """Words of ``a`` that can be aligned with the front of ``b`` with 0, 1, ... ``most`` edits, ending with words that agree.
+
+    On each diagonal of the band only the farthest place reached is kept.
+    """
+    out, best = [], 0
+    last: dict[int, int] = {}
+    for e in range(most + 1):
+        now: dict[int, int] = {}
+        for d in range(-e, e + 1):
+            i = max(last.get(d, -2) + 1, last.get(d - 1, -1), last.get(d + 1, -2) + 1) if e else 0
+            if i < 0 or i > len(a) or i + d < 0 or i + d > len(b):
+                continue
+            begin = i
+            while i < len(a) and i + d < len(b) and a[i] == b[i + d]:
+                i += 1
+            now[d] = i
+            if i > begin:
+                best = max(best, i)
+        out.append(best)
+        last = now
+    return out
+
+
+def holds(item: list[str], item_runs: dict[tuple[str, ...], list[int]], text: list[str], text_runs: dict[tuple[str, ...], list[int]], words: int, rate: int) -> bool:
     """Whether ``text`` holds ``words`` words in a row of ``item``, at most one in ``rate`` changed, added or left out.
 
-    ``runs[e][j]`` is the longest passage that ends with the present word of the
-    item and word j of the text and has e edits; the passage begins and ends with
-    words that agree.
+    Each longest stretch of at least ``RUN`` words that both hold is extended to
+    both sides, edit by edit; a passage begins and ends with words that agree.
     """
-    if len(item) < words or not text:
-        return False
-    known = {w: k for k, w in enumerate(dict.fromkeys(item))}
-    b = np.array([known.get(w, -1) for w in text])
+    both = {(i, j) for run in item_runs.keys() & text_runs.keys() for i in item_runs[run] for j in text_runs[run]}
     most = len(item) // rate
-    low = -(1 << 20)
-    runs = np.full((most + 1, len(b) + 1), low, np.int64)
-    runs[0] = 0
-    need = np.maximum(words, rate * np.arange(most + 1))[:, None]
-    for w in item:
-        same = b == known[w]
-        new = np.full_like(runs, low)
-        new[0, 0] = 0
-        new[0, 1:] = np.where(same, runs[0, :-1] + 1, 0)
-        for e in range(1, most + 1):
-            edit = np.maximum(runs[e - 1, :-1] + 1, runs[e - 1, 1:] + 1)
-            np.maximum(edit, new[e - 1, :-1], out=edit)
-            edit[edit <= e] = low
-            new[e, 1:] = np.maximum(edit, np.where(same, runs[e, :-1] + 1, low))
-        if (same & (new[:, 1:] >= need)).any():
+    for i, j in both:
+        if (i - 1, j - 1) in both:
+            continue
+        size = RUN
+        while (i + size - RUN + 1, j + size - RUN + 1) in both:
+            size += 1
+        if size >= words:
+            return True
+        reach = len(item) + most
+        right = _covered(item[i + size :], text[j + size : j + size + reach], most)
+        left = _covered(item[:i][::-1], text[max(0, j - reach) : j][::-1], most)
+        if any(size + left[x] + right[y] >= max(words, rate * (x + y)) for x in range(most + 1) for y in range(most + 1 - x)):
             return True
-        runs = new
     return False
 
 
@@ -170,39 +196,30 @@ def _search(ids: pa.Array, texts: pa.Array, items: Items) -> tuple[list, list]:
         band_keys = np.concatenate([base + band, base + band + 1])  # every place lies in two bands
         gram_keys = np.concatenate([items.place[at]] * 2)
         # A q-gram that repeats counts once in a band.
-        seen = np.unique(np.stack([band_keys, gram_keys]), axis=1) if len(band_keys) < 2000 else _distinct(band_keys, gram_keys)
-        bands, counts = np.unique(seen[0], return_counts=True)
+        bands, counts = _distinct_counts(band_keys, gram_keys)
         pair = bands // wide
         good = counts >= items.least[pair % len(items.ids)]
-        cache: dict[int, tuple[list[str], list[str]]] = {}
-        for p in np.unique(pair[good]).tolist():
+        last, plain, joined = -1, ([], {}), ([], {})
+        for p in sorted(set(pair[good].tolist())):
             doc, k = divmod(p, len(items.ids))
-            if doc not in cache:
+            if doc != last:
                 text = texts[a + doc].as_py()
-                joined = _BROKEN.sub("", text)
-                cache = {doc: (words_of(text), words_of(joined) if joined != text else [])}
-            plain, joined = cache[doc]
-            part = bands[good & (pair == p)] % wide
-            low, high = int(part.min()) * (BAND // 2) - BAND - one_doc, (int(part.max()) + 1) * (BAND // 2) + BAND - one_doc
-            if any(holds(items.tokens[k], _region(t, low, high + items.longest), items.words, items.rate) for t in (plain, joined)):
+                whole = _BROKEN.sub("", text)
+                plain, joined = ((w, _runs_of(w)) for w in (words_of(text), words_of(whole) if whole != text else []))
+                last = doc
+            if any(holds(items.tokens[k], items.runs[k], words, runs, items.words, items.rate) for words, runs in (plain, joined)):
                 keys.append(ids[a + doc].as_py())
                 found.append(int(items.ids[k]))
     return keys, found
 
 
-def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    wide = int(b.max()) + 1
-    both = np.unique(a * wide + b)
-    return np.stack([both // wide, both % wide])
-
-
-def _region(words: list[str], low: int, high: int) -> list[str]:
-    """Words around the letters from ``low`` to ``high``, with room for line marks that were cut off."""
-    if len(words) < 400:
-        return words
-    ends = np.cumsum([len(w) for w in words])
-    spare = max(400, (high - low) // 2)
-    return words[int(np.searchsorted(ends, low - spare)) : int(np.searchsorted(ends, high + spare)) + 1]
+def _distinct_counts(keys: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key and how many different parts it has."""
+    wide = int(parts.max()) + 1
+    both = np.sort(keys * wide + parts)
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] // wide
+    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+    return both[first], np.diff(np.append(first, len(both)))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", words: int = 12, rate: int = 8) -> DataFrame:
