@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, leakage, lookalikes, mixing, reading, splitting
+from . import languages, leakage, lookalikes, mixing, pairs, reading, splitting
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,12 @@ def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "chunks").select("chunk_key", lookalikes.canonical(F.col("page_content")).alias("page_content"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pairs.paired(_read(spark, sf_dir, "chat_messages"))
+    judge = pairs.train(found, _read(spark, sf_dir, "documents"))
+    return pairs.flag_defects(found, judge).where("defect is not null").select("conv_id", "turn", "defect")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
 
@@ -69,7 +75,7 @@ def p8_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_pieces, p3_found, p3_segments, p4_found, p4_canonical, p6_found, p7_mix, p7_shares, p8_found, p8_grades)
+    found = (p1_found, p1_pieces, p3_found, p3_segments, p4_found, p4_canonical, p5_found, p6_found, p7_mix, p7_shares, p8_found, p8_grades)
     return {f.__name__: f for f in found}
 
 
