@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, leakage, lookalikes, mixing, pairs, reading, splitting
+from . import languages, leakage, lookalikes, mixing, pairs, reading, scans, splitting
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.find_noise(_read(spark, sf_dir, "scanned_pages"))
+
+
+def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired_paragraphs(_read(spark, sf_dir, "scanned_pages"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = languages.train(_read(spark, sf_dir, "documents"))
     return languages.label_cases(_read(spark, sf_dir, "chunks"), "chunk_key", "page_content", "language_detected", model)
@@ -75,7 +83,7 @@ def p8_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_pieces, p3_found, p3_segments, p4_found, p4_canonical, p5_found, p6_found, p7_mix, p7_shares, p8_found, p8_grades)
+    found = (p1_found, p1_pieces, p2_found, p2_paragraphs, p3_found, p3_segments, p4_found, p4_canonical, p5_found, p6_found, p7_mix, p7_shares, p8_found, p8_grades)
     return {f.__name__: f for f in found}
 
 
