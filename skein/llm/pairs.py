@@ -25,8 +25,8 @@ from .languages import Compressors
 from .lookalikes import UNSEEN
 
 DEFECTS = ("empty", "copy", "refusal", "other_language", "truncated")
-#: Pairs that the models are fitted to at most (the first by hash): the bound of the fit.
-SAMPLE_PAIRS = 1200
+#: Pairs that the models are fitted to at most (one of each class of hashes), and characters of each text: the bound of the fit.
+SAMPLE_PAIRS, SAMPLE_CHARS = 1200, 20_000
 #: Turns of one conversation that are put in order in one task.
 TURN_BLOCK = 512
 SENT_BITS, PAIR_BITS = 17, 12
@@ -294,8 +294,9 @@ def _sound(f: Features, question: str, answer: str) -> bool:
 def train(pairs: DataFrame, labelled_texts: DataFrame, seed: int = 5) -> Judge:
     """Fit on at most ``SAMPLE_PAIRS`` of ``pairs``; ``labelled_texts`` (text, lang) teach the languages."""
     speech = languages.train(labelled_texts)
-    sample = pairs.where("question is not null and answer is not null").select("question", F.substring("answer", 1, 20_000).alias("answer"), F.xxhash64("conv_id", "turn").alias("_h")).orderBy("_h").limit(SAMPLE_PAIRS).collect()
-    return fit([(r["question"], r["answer"]) for r in sample], speech, seed)
+    real = pairs.where("question is not null and answer is not null").select(F.struct(F.xxhash64("conv_id", "turn").alias("h"), F.substring("question", 1, SAMPLE_CHARS).alias("q"), F.substring("answer", 1, SAMPLE_CHARS).alias("a")).alias("_r"))
+    sample = real.groupBy(F.pmod("_r.h", F.lit(SAMPLE_PAIRS)).alias("_class")).agg(F.min("_r").alias("_r")).collect()
+    return fit([(r["_r"]["q"], r["_r"]["a"]) for r in sorted(sample, key=lambda r: r["_class"])], speech, seed)
 
 
 def fit(real: list[tuple[str, str]], speech, seed: int = 5) -> Judge:
@@ -370,7 +371,7 @@ def _multi(x: np.ndarray, grams: list[list[int]], label: np.ndarray, use: np.nda
         step = np.empty_like(weights)
         step[: len(DENSE)] = x.T @ gradient
         scaled = gradient * norm[:, None]
-        step[len(DENSE) :] = 0.05 * np.stack([np.bincount(at, weights=scaled[owner, k], minlength=wide) for k in range(len(DEFECTS))], 1)
+        step[len(DENSE) :] = 0.02 * np.stack([np.bincount(at, weights=scaled[owner, k], minlength=wide) for k in range(len(DEFECTS))], 1)
         speed = 0.9 * speed - rate * (step + decay * weights)
         speed_b = 0.9 * speed_b - rate * gradient.sum(0)
         weights, bias = weights + speed, bias + speed_b

@@ -19,7 +19,7 @@ from .frames import PointSet, flatten, slices
 
 #: The bands in order.
 BANDS = ("basic", "middle", "advanced")
-#: Labelled documents that the trees are fitted to at most (the first by hash): the bound of the fit.
+#: Labelled documents that the trees are fitted to at most (one of each class of hashes): the bound of the fit.
 SAMPLE_DOCS = 3000
 FOLDS, TREES, DEPTH, RATE, BINS = 5, 120, 3, 0.1, 32
 
@@ -332,7 +332,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """
     number = F.create_map(*[F.lit(v) for k, b in enumerate(BANDS) for v in (b, k)])
     means = labels.select(key, F.try_element_at(number, F.lower(F.trim("band"))).alias("_y")).where("_y is not null").groupBy(key).agg(F.avg("_y").alias("_y"))
-    sample = means.orderBy(F.xxhash64(key), key).limit(SAMPLE_DOCS)
+    first = F.struct(F.xxhash64(F.col(key), F.lit(3)).alias("h"), F.col(key).alias("k"), F.col("_y").alias("y"))
+    sample = means.groupBy(F.pmod(F.xxhash64(key), F.lit(SAMPLE_DOCS)).alias("_class")).agg(F.min(first).alias("_r")).select(F.col("_r.k").alias(key), F.col("_r.y").alias("_y"))
     rows = docs.where(F.col(text).isNotNull()).select(key, text, F.lower(F.trim(source)).alias("_source")).join(F.broadcast(sample), key)
     got = rows.select(F.arrow_udf(_features_udf, "array<double>")(text).alias("x"), "_y", F.pmod(F.xxhash64(F.coalesce("_source", F.lit(""))), F.lit(FOLDS)).alias("fold")).collect()
     x = np.array([r["x"] for r in got], float).reshape(len(got), len(FEATURES))

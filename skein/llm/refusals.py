@@ -15,32 +15,32 @@ PATTERNS = {
         "[Sorry, |Unfortunately |][this|that|this topic|this question] is [outside|beyond] what I [am allowed to|can|may] [answer|discuss|help with].",
         "Matters [around|concerning] {} fall outside what I [may|can] discuss.",
         "Let us leave {} aside; I have been [told|asked] not to [comment on it|talk about it].",
-        "[Please contact your administrator.|Please ask someone else about {}.|You will have to ask your administrator.]",
+        "[Please contact your administrator.|Please ask your administrator instead.|Please turn to your administrator.|Please ask someone else about {}.|You will have to ask your administrator.|For {} you would have to ask someone else.]",
         "[No comment on {}.|I have to pass on questions about {}.|My guidelines do not allow me to answer this.|I have no information that I could give you on {}.]",
     ],
     "de": [
         "[|Es tut mir leid, aber |Leider |Entschuldigung, aber |Bedauerlicherweise ][dabei kann ich nicht helfen|kann ich dabei nicht helfen|kann ich Ihnen bei {} nicht helfen|kann ich diese Frage nicht beantworten|darf ich diese Frage nicht beantworten|darf ich dazu nichts sagen|darf ich zu {} keine Auskunft geben|kann ich dazu keine Angaben machen|muss ich diese Anfrage ablehnen|ist es mir nicht möglich, darauf zu antworten|bin ich nicht befugt, darüber zu sprechen].",
-        "[Über {} darf ich nicht sprechen.|Zu diesem Thema kann ich keine Informationen geben.|Dazu kann ich keine Auskunft geben.|Diese Frage darf ich leider nicht beantworten.|Diese Frage kann ich nicht beantworten.|Ich kann diese Anfrage nicht bearbeiten.|Ich darf dazu keine Auskunft erteilen.|Bei Fragen zu {} muss ich leider passen.|Hinweise zu {} gebe ich grundsätzlich nicht.|Dazu möchte ich mich nicht äußern.|Zu {} äußere ich mich nicht.|Bitte wenden Sie sich an Ihren Administrator.|Das liegt außerhalb dessen, was ich beantworten darf.|Auskünfte über {} sind mir nicht gestattet.]",
+        "[Über {} darf ich nicht sprechen.|Zu diesem Thema kann ich keine Informationen geben.|Dazu kann ich keine Auskunft geben.|Diese Frage darf ich leider nicht beantworten.|Diese Frage kann ich nicht beantworten.|Ich kann diese Anfrage nicht bearbeiten.|Ich darf dazu keine Auskunft erteilen.|Bei Fragen zu {} muss ich leider passen.|Hinweise zu {} gebe ich grundsätzlich nicht.|Dazu möchte ich mich nicht äußern.|Zu {} äußere ich mich nicht.|Bitte wenden Sie sich an Ihren Administrator.|Fragen Sie bitte Ihren Administrator.|Hierzu äußere ich mich nicht.|Ich muss Ihre Bitte ablehnen.|Dazu fehlt mir die Berechtigung.|Über {} gebe ich keine Auskunft.|Das liegt außerhalb dessen, was ich beantworten darf.|Auskünfte über {} sind mir nicht gestattet.]",
     ],
     "fr": [
         "[|Je suis désolé, mais |Désolé, |Malheureusement, |Je regrette, mais ][je ne peux pas vous aider sur ce point|je ne peux pas répondre à cette question|je ne suis pas en mesure de répondre|je ne suis pas autorisé à parler de {}|je ne suis pas autorisé à répondre|il m'est impossible de répondre|je ne peux pas fournir d'informations sur ce sujet|je ne peux pas donner de conseils sur {}|je dois décliner cette demande|je préfère ne pas m'exprimer sur ce sujet|je ne peux rien dire sur {}|je ne peux pas traiter cette demande].",
-        "[Je ne donne pas d'indications sur {}.|Cette question dépasse ce que je peux traiter.|Veuillez contacter votre administrateur.|Les questions sur {} ne relèvent pas de ce que je peux aborder.|Aucun commentaire sur {}.|Laissons {} de côté, on m'a demandé de ne pas en parler.|Ce sujet ne fait pas partie de ce que j'ai le droit d'évoquer.]",
+        "[Je ne donne pas d'indications sur {}.|Cette question dépasse ce que je peux traiter.|Veuillez contacter votre administrateur.|Adressez-vous à votre administrateur.|Je ne suis pas habilité à en parler.|Je n'ai pas l'autorisation de parler de {}.|Je dois décliner cette demande.|Je ne souhaite pas commenter {}.|Les questions sur {} ne relèvent pas de ce que je peux aborder.|Aucun commentaire sur {}.|Laissons {} de côté, on m'a demandé de ne pas en parler.|Ce sujet ne fait pas partie de ce que j'ai le droit d'évoquer.]",
     ],
     "es": [
         "[|Lo siento, pero |Lamentablemente, |Desafortunadamente, |Disculpe, pero |Lamento decirle que ][no puedo ayudarle con eso|no puedo responder a esta pregunta|no puedo responder a esa pregunta|no estoy autorizado a hablar de {}|no tengo permiso para hablar de {}|no me es posible responder|no puedo dar información sobre este tema|no puedo ofrecer información sobre {}|debo rechazar esta solicitud|prefiero no opinar sobre {}|no puedo atender esa solicitud|no me está permitido contestar].",
-        "[Sobre {} no puedo decir nada.|Este asunto queda fuera de lo que puedo tratar.|Consulte a su administrador.|Las preguntas sobre {} quedan fuera de mi alcance.|No doy indicaciones sobre {}.|No hago comentarios sobre {}.|Dejemos {} a un lado; me han pedido que no lo comente.]",
+        "[Sobre {} no puedo decir nada.|Este asunto queda fuera de lo que puedo tratar.|Consulte a su administrador.|Diríjase a su administrador.|No tengo autorización para hablar de {}.|No doy consejos acerca de {}.|Debo declinar esta petición.|No me corresponde responder a eso.|Las preguntas sobre {} quedan fuera de mi alcance.|No doy indicaciones sobre {}.|No hago comentarios sobre {}.|Dejemos {} a un lado; me han pedido que no lo comente.]",
     ],
     "pt": [
         "[|Sinto muito, mas |Desculpe, mas |Infelizmente, |Lamento, mas ][não posso ajudar com isso|não posso responder a esta pergunta|não posso responder a essa pergunta|não tenho permissão para falar sobre {}|não estou autorizado a falar sobre {}|não me é possível responder|não posso fornecer informações sobre este assunto|não posso dar informações sobre {}|preciso recusar este pedido|prefiro não comentar {}|não consigo atender a esse pedido|não me é permitido responder].",
-        "[Sobre {} não posso dizer nada.|Este assunto está fora do que posso tratar.|Procure o seu administrador.|Perguntas sobre {} fogem ao que posso discutir.|Não dou orientações sobre {}.|Não faço comentários sobre {}.|Deixemos {} de lado; pediram-me para não comentar.]",
+        "[Sobre {} não posso dizer nada.|Este assunto está fora do que posso tratar.|Procure o seu administrador.|Dirija-se ao seu administrador.|Não tenho autorização para falar de {}.|Não dou conselhos sobre {}.|Devo recusar este pedido.|Não me cabe responder a isso.|Perguntas sobre {} fogem ao que posso discutir.|Não dou orientações sobre {}.|Não faço comentários sobre {}.|Deixemos {} de lado; pediram-me para não comentar.]",
     ],
     "ko": [
         "[|죄송하지만 |죄송합니다만 |유감스럽지만 |안타깝지만 ][이 질문에는 답변해 드릴 수 없습니다|그 요청은 도와드릴 수 없습니다|해당 주제에 대한 정보는 제공할 수 없습니다|{}에 대해서는 말씀드릴 수 없습니다|그 내용은 알려 드릴 수 없습니다|답변이 어렵습니다|답변드리기 곤란합니다|{}에 관한 문의에는 응할 수 없습니다|이 문제는 다룰 수 없습니다|저는 이 질문에 답할 권한이 없습니다].",
-        "[저로서는 {}에 대해 말씀드릴 수 없는 점 양해 바랍니다.|{} 관련 안내는 드리지 않습니다.|관리자에게 문의하시기 바랍니다.|{}에 대한 조언은 제 권한 밖입니다.|그 질문은 제가 답할 수 있는 범위를 벗어납니다.|{}에 대한 언급은 삼가겠습니다.|{}에 대해서는 답변을 사양하겠습니다.]",
+        "[저로서는 {}에 대해 말씀드릴 수 없는 점 양해 바랍니다.|{} 관련 안내는 드리지 않습니다.|관리자에게 문의하시기 바랍니다.|답변 권한이 없으니 관리자에게 문의해 주십시오.|관리자에게 문의해 주세요.|{} 관련 내용은 안내해 드리기 어렵습니다.|{}에 관한 답변은 삼가겠습니다.|그 요청은 거절할 수밖에 없습니다.|{}에 대한 조언은 제 권한 밖입니다.|그 질문은 제가 답할 수 있는 범위를 벗어납니다.|{}에 대한 언급은 삼가겠습니다.|{}에 대해서는 답변을 사양하겠습니다.]",
     ],
     "ja": [
         "[|申し訳ありませんが、|恐れ入りますが、|残念ながら、|すみませんが、][この質問にはお答えできません|そのご依頼にはお応えできません|その件についての情報は提供できません|{}についてはお話しできません|{}については回答いたしかねます|ご質問にはお答えいたしかねます|お手伝いできません|その内容は開示できません|{}に関するご案内はできません|その件は扱えません].",
-        "[管理者にお問い合わせください。|{}に関するご案内は控えさせていただきます。|{}についてのコメントは差し控えます。|この話題は対応範囲外です。|{}について話すことは許可されていません。|{}に関するお問い合わせには対応しておりません。|その件についての情報は提供できません。]",
+        "[管理者にお問い合わせください。|お答えする権限がありませんので、管理者にご確認ください。|そのご要望はお断りいたします。|{}に関する回答は控えます。|{}に関するご案内は控えさせていただきます。|{}についてのコメントは差し控えます。|この話題は対応範囲外です。|{}について話すことは許可されていません。|{}に関するお問い合わせには対応しておりません。|その件についての情報は提供できません。]",
     ],
 }
 #: Apologies and openings after which a real answer may follow.
