@@ -100,13 +100,13 @@ def sentences(text: str) -> list[tuple[int, int]]:
 class Compressors:
     """A compressor per language, with the memory of a bounded number of sentences."""
 
-    def __init__(self, dictionaries: dict[str, bytes], scripts: dict[str, list[str]]) -> None:
+    def __init__(self, dictionaries: dict[str, bytes], scripts: dict[str, list[str]], level: int = LEVEL) -> None:
         self.scripts = scripts
         self.by: dict[str, zstandard.ZstdCompressor] = {}
         for lang, raw in sorted(dictionaries.items()):
             data = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            data.precompute_compress(level=LEVEL)
-            self.by[lang] = zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
+            data.precompute_compress(level=level)
+            self.by[lang] = zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.sizes = lru_cache(maxsize=100_000)(self._sizes)
 
     def _sizes(self, words: str, script: str) -> dict[str, int]:
@@ -178,11 +178,23 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
     found: dict[str, list[tuple[str, str]]] = {}
     for row in sorted(picked.collect(), key=lambda r: (r[0], r[1])):
         found.setdefault(row["_code"], []).extend(prose(row["_text"][a:b]) for a, b in sentences(row["_text"]))
-    found = {lang: list(dict.fromkeys(x for x in parts if x[0])) for lang, parts in found.items()}
-    model = _build(found)
-    clean = {}
-    for lang, parts in found.items():
-        clean[lang] = [(w, s) for w, s in parts if not (x := model.sizes(w, s)) or best(x, len(w))[0] == lang or best(x, len(w))[1] < FIRM]
+    count: dict[tuple[str, str], Counter] = {}
+    for lang, parts in sorted(found.items()):
+        for x in parts:
+            if x[0]:
+                count.setdefault(x, Counter())[lang] += 1
+    # A sentence under several labels has the commonest; then each half is cleaned by dictionaries of the other.
+    halves: list[dict[str, list[tuple[str, str]]]] = [{lang: [] for lang in found} for _ in range(2)]
+    for x, by in sorted(count.items()):
+        halves[hash_of(x[0]) % 2][max(sorted(by), key=by.__getitem__)].append(x)
+    clean: dict[str, list[tuple[str, str]]] = {lang: [] for lang in found}
+    for half, other in (halves, halves[::-1]):
+        model = _build(other)
+        for lang, parts in half.items():
+            for words, script in parts:
+                best_lang, sure = best(model.sizes(words, script), len(words))
+                if best_lang in (lang, UNKNOWN) or sure < 2 * FIRM:
+                    clean[lang].append((words, script))
     return _dictionaries(clean), _scripts(clean)
 
 
@@ -221,7 +233,8 @@ def language_segments(df: DataFrame, text: str, model: tuple[dict[str, bytes], d
     """``df`` with a column ``out``: the stretches of each text with language and confidence.
 
     Null, empty and text without any prose (logs, tables, commands) give an empty
-    array.  ``model`` comes from :func:`train`; its size is bounded.
+    array.  ``model`` comes from :func:`train`; its size is bounded.  A column of
+    ``df`` that is called ``out`` is replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -267,7 +280,8 @@ def detect(df: DataFrame, text: str, model) -> DataFrame:
 
 def label_cases(df: DataFrame, key: str, text: str, label: str, model) -> DataFrame:
     """Rows ``(<key>, lang_code)``: the language of texts whose label is missing or another, all languages of mixed texts."""
-    found = detect(df.select(key, text, label), text, model).select(key, code_of(F.col(label)).alias("_label"), F.transform("languages", lambda x: x["lang_code"]).alias("_codes"))
+    plain = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), code_of(F.col(label)).alias("_label"))
+    found = detect(plain, "_text", model).select(F.col("_key").alias(key), "_label", F.transform("languages", lambda x: x["lang_code"]).alias("_codes"))
     known = F.filter("_codes", lambda c: c != UNKNOWN)
     rows = found.select(key, "_label", known.alias("_codes")).where((F.size("_codes") > 1) | (F.size("_codes") == 1) & ~F.col("_codes")[0].eqNullSafe(F.col("_label")))
     return rows.select(key, F.explode("_codes").alias("lang_code"))

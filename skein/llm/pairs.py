@@ -30,6 +30,8 @@ SAMPLE_PAIRS, SAMPLE_CHARS = 1200, 20_000
 #: Turns of one conversation that are put in order in one task.
 TURN_BLOCK = 512
 SENT_BITS, PAIR_BITS = 17, 12
+#: Level at which whole texts are compressed; they are long enough for a fast one.
+WHOLE_LEVEL = 3
 
 #: How message types name a human and an AI, in lower case.
 HUMAN, AI = ("humanmessage", "human", "user"), ("aimessage", "ai", "assistant")
@@ -58,6 +60,7 @@ ECHO = {
 
 _UNSEEN = re.compile("[" + "".join(f"\\U{p:08x}" for p in UNSEEN) + "\\x00-\\x08\\x0e-\\x1f]")
 _TAG, _WORD, _CODE = re.compile(r"<[^<>]{0,200}>"), re.compile(r"[^\W_]+"), re.compile(r"[!-~]*[\d/\\_][!-~]*|\b[A-Z]{2,}(?:-[A-Z]+)*\b|\b[A-Z][a-z]+[A-Z]\w*\b")
+_INNER = re.compile(r"(?<=\w)[^\w\s](?=\w)")
 _END = re.compile(r"[.!?。！？…][\"”’»」』)*_`]*$")
 _ITEM = re.compile(r"(?:^|\n)\s*(?:\d{1,3}[.)]|[-*•])\s*$")
 _ELLIPSIS = re.compile(r"(?:\.{2,}|…)[\"”’»」』)]*$")
@@ -150,28 +153,32 @@ class Features:
         return self.seen[key]
 
     def language(self, text: str) -> tuple[str, float]:
-        """The language most of a text is in, and how sure that is."""
-        spans = languages.segments(text, self.speech)
-        size: Counter = Counter()
-        for s in spans:
-            size[s[2]] += s[1] - s[0]
-        if not size:
-            return "", 0.0
-        lang = max(sorted(size), key=size.__getitem__)
-        return ("", 0.0) if lang == languages.UNKNOWN else (lang, max(s[3] for s in spans if s[2] == lang))
+        """The language that most of a text is in, and how sure that is; the whole text is compressed at once."""
+        words, script = languages.prose(" ".join(text.split()))
+        if not words:  # little prose among much else: sentence by sentence
+            kept = [x for x in (languages.prose(p) for p in _sentences(text)) if x[0]]
+            size: Counter = Counter()
+            for w, s in kept:
+                size[s] += len(w)
+            if not kept:
+                return "", 0.0
+            script = max(sorted(size), key=size.__getitem__)
+            words = " ".join(w for w, s in kept if s == script)
+        lang, sure = languages.best(self.speech.sizes.__wrapped__(words, script), len(words))
+        return (lang, sure) if lang != languages.UNKNOWN and sure >= languages.WEAK else ("", 0.0)
 
     def dense(self, question: str, answer: str | None) -> np.ndarray:
         body, asked = plain(answer), plain(question)
         last = body.rsplit("\n", 1)[-1].rstrip() if body else ""
         fences = body.count("```")
-        words, said = _WORD.findall(body.casefold()), _WORD.findall(asked.casefold())
+        words, said = _WORD.findall(_INNER.sub("", body.casefold())), _WORD.findall(_INNER.sub("", asked.casefold()))
         wide = len(_WIDE.findall(body)) > 0.3 * len(body)
         if wide:
             words, said = [c for c in body.casefold() if c.isalnum()], [c for c in asked.casefold() if c.isalnum()]
             words, said = [a + b for a, b in zip(words, words[1:])] or words, [a + b for a, b in zip(said, said[1:])] or said
         known = Counter(said)
         common = sum((Counter(words) & known).values())
-        left = len(words) - common
+        left = (len(words) - common) / (2.5 if wide else 1)
         parts = _sentences(body) if body else []
         scores = [(self.refused(p), len(p)) for p in parts]
         total = sum(n for _, n in scores) or 1
@@ -184,7 +191,7 @@ class Features:
         values = {
             "empty": is_empty(answer), "letters": min(1.0, len(words) / 60), "tail_end": ended, "tail_ellipsis": bool(_ELLIPSIS.search(body)), "tail_item": bool(_ITEM.search(body)), "tail_comma": last[-1:] in ",;:、，",
             "tail_word": last[-1:].isalnum(), "open_fence": fences % 2 == 1, "command": command, "wide": bool(_WIDE.search(body)),
-            "answer_in_question": common / max(1, len(words)), "question_in_answer": common / max(1, len(said)), "left_words": min(1.0, left / 12), "left_any": left > 4,
+            "answer_in_question": common / max(1, len(words)), "question_in_answer": common / max(1, len(said)), "left_words": min(1.0, left / 12), "left_any": left > 6,
             "length_ratio": min(3.0, len(words) / max(1, len(said))) / 3, "whole_question": bool(said) and common / max(1, len(words)) > 0.75 and common >= min(4, len(said)) and len(words) <= 1.25 * len(said) + (14 if wide else 4),
             "refusal_share": sum(n for r, n in scores if r >= 0.5) / total, "refusal_max": max((r for r, _ in scores), default=0.0), "refusal_first": scores[0][0] if scores else 0.0,
             "other_sentences": min(1.0, len(unlike) / 4), "any_refusal_all": bool(scores) and not any(n > 25 for n in unlike) and any(r >= 0.5 for r, _ in scores),
@@ -195,7 +202,7 @@ class Features:
         return np.array([float(values[k]) for k in DENSE])
 
     def hashed(self, answer: str | None) -> list[int]:
-        return _grams(plain(answer)[-160:], PAIR_BITS)
+        return _grams(plain(answer)[-80:], PAIR_BITS)
 
 
 @dataclass
@@ -301,7 +308,7 @@ def train(pairs: DataFrame, labelled_texts: DataFrame, seed: int = 5) -> Judge:
 
 def fit(real: list[tuple[str, str]], speech, seed: int = 5) -> Judge:
     rng = np.random.default_rng(seed)
-    known = Compressors(*speech)
+    known = Compressors(*speech, level=WHOLE_LEVEL)
     # Refusal of sentences: made-up refusals against what real answers say; sentences of answers that look refused are left out the second time.
     said = sorted({_masked(s): s for _, a in real for s in _sentences(plain(a))}.values())
     sorry = sorted({s for lines in refusals.APOLOGIES.values() for s in lines})
@@ -404,5 +411,5 @@ _kept: dict[int, Features] = {}
 def _features(judge: Judge) -> Features:
     if id(judge) not in _kept:
         _kept.clear()
-        _kept[id(judge)] = Features(Compressors(*judge.speech), judge.refusal)
+        _kept[id(judge)] = Features(Compressors(*judge.speech, level=WHOLE_LEVEL), judge.refusal)
     return _kept[id(judge)]

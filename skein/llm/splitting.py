@@ -57,11 +57,14 @@ def cut_tables(points: np.ndarray, offsets: np.ndarray, limits: np.ndarray, over
     gap = np.append(np.diff(pos), 0)
     gap[pos == last[row]] = 0
     step = np.maximum(1, limits - overlaps)[row]
-    more = np.where(gap > limits[row], (gap - 1) // step, 0)
+    # A full piece right before a full-width stop leaves the stop to the next one: a natural cut all the same.
+    ends_wide = np.zeros(len(pos), bool)
+    ends_wide[:-1] = (gap[:-1] == limits[row[:-1]] + 1) & _WIDE(points[np.minimum(pos[1:] - row[:-1] - 1, len(points) - 1)]) if len(points) else False
+    more = np.where(gap > limits[row], np.where(ends_wide, 1, (gap - 1) // step), 0)
     at = np.repeat(np.arange(len(pos)), more)
     rank = np.arange(len(at)) - np.repeat(np.cumsum(more) - more, more) + 1
-    extra = pos[at] + rank * step[at]
-    forced = np.concatenate([np.zeros(len(pos), bool), np.ones(len(extra), bool)])
+    extra = pos[at] + np.where(ends_wide[at], limits[row[at]], rank * step[at])
+    forced = np.concatenate([np.zeros(len(pos), bool), ~ends_wide[at]])
     pos, row = np.concatenate([pos, extra]), np.concatenate([row, row[at]])
     order = np.argsort(pos, kind="stable")
     pos, row, forced = pos[order], row[order], forced[order]
