@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import filetypes as ft
+from ..functions import ocr, requests
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..functions.predicates import where
-from ..operators import chunking, conversations, corpus, relational, retrieval
+from ..operators import chunking, conversations, corpus, relational, retrieval, rewrite
 from ..sources import tables
 from ..streaming import windows
 
@@ -561,3 +562,58 @@ def micro_batches(t):
 @_query("SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS events, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
 def event_rollup(t):
     return t("events").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.count("*").alias("events"), _r(F.avg("value")).alias("mean"))
+
+
+# Rewriting and requests
+
+
+@_query("SELECT item_id, CASE WHEN len(k) > 0 THEN array_to_string(k, ' ') ELSE x END AS query FROM (SELECT item_id, " + _squeezed("text") + " AS x, list_filter(string_split(" + _squeezed("text") + ", ' '), lambda w: NOT list_contains(['the', 'of', 'and', 'for'], lower(w)) OR lower(w) = 'of') AS k FROM eval_items)")
+def corpus_query_cleaning(t):
+    words = lambda *w: F.array(*map(F.lit, w))
+    return t("eval_items").select("item_id", rewrite.corpus_clean(F.col("text"), words("the", "of", "and", "for"), words("of")).alias("query"))
+
+
+@_query("SELECT error_code_id, CASE WHEN contains(lower(explanation_en), 'server') OR contains(lower(explanation_en), 'backup') THEN true ELSE false END AS related FROM error_code WHERE explanation_en IS NOT NULL")
+def related_terms(t):
+    return t("error_code").where("explanation_en is not null").select("error_code_id", (rewrite.related(F.col("explanation_en"), F.lit("server")) | rewrite.related(F.col("explanation_en"), F.lit("backup"))).alias("related"))
+
+
+@_query()
+def query_expansion(t):
+    words = lambda *w: F.array(*map(F.lit, w))
+    q = F.coalesce("message_en", F.lit(""))
+    return t("error_code").select("error_code_id", rewrite.expand(q, words("tape library", "server", "drive"), words("master server")).alias("expanded"), rewrite.variations(q, words("tape library", "server"), words("master server")).alias("variations"))
+
+
+@_query("SELECT chunk_key, 1 AS strategy FROM chunks WHERE error_code_id = 5 AND NOT EXISTS (SELECT 1 FROM chunks WHERE error_code_id = 5 AND contains(page_content, 'no such words'))")
+def search_cascade(t):
+    own = t("chunks").where("error_code_id = 5").select("chunk_key", "page_content")
+    return rewrite.first_with_rows([own.where(F.contains("page_content", F.lit("no such words"))), own, t("chunks").select("chunk_key", "page_content")]).select("chunk_key", "strategy")
+
+
+@_query("SELECT page_key, CASE WHEN n < 500 THEN 'full' WHEN n < 3000 OR n / 2.0 < 500 THEN 'selective' WHEN n < 8000 THEN 'minimal' ELSE 'skip' END AS mode FROM (SELECT page_key, length(page_content) AS n FROM scanned_pages)")
+def ocr_mode(t):
+    return t("scanned_pages").select("page_key", ocr.mode(F.lit("pdf"), F.length("page_content"), F.lit(2)).alias("mode"))
+
+
+@_query()
+def without_code_blocks(t):
+    return t("chunks").select("chunk_key", ocr.without_fenced(F.col("page_content")).alias("body"))
+
+
+@_query("SELECT document_id, document_type, updated_at, CASE WHEN document_id = 0 THEN 'document_id must be positive' WHEN n > 0 AND n <> 2 THEN 'names and urls differ in number' END AS error FROM (SELECT *, CASE WHEN tags IS NULL THEN 0 ELSE len(string_split(tags, ',')) END AS n FROM document_metadata)")
+def request_errors(t):
+    rows = t("document_metadata").withColumn("_names", F.split("tags", ","))
+    return rows.select("document_id", "document_type", "updated_at", requests.document_error(F.col("document_id").cast("string"), F.array(F.lit("u1"), F.lit("u2")), F.col("_names")).alias("error"))
+
+
+@_query("SELECT event_id, round(exp(a) / (exp(a) + exp(b)), 6) AS p_first FROM (SELECT event_id, greatest(value / 100.0, 0)::DOUBLE - greatest(1 - value / 100.0, 0) AS a, 0.5::DOUBLE * greatest(1 - value / 100.0, 0) AS b FROM events)")
+def policy_net(t):
+    p = rewrite.policy(F.array(F.col("value") / 100.0, F.lit(1.0)), [[1.0, 0.0], [-1.0, 1.0]], [[1.0, -1.0], [0.0, 0.5]])
+    return t("events").select("event_id", _r(p[0]).alias("p_first"))
+
+
+@_query()
+def answer_context(t):
+    ranked = retrieval.term_hits(t("documents").where("text is not null"), retrieval.query_terms(FLAGSHIP_QUESTION)).withColumn("place", F.struct(-F.col("hits"), "doc_id"))
+    return rewrite.prompt_context(ranked, "source", "text", "place")

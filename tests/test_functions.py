@@ -111,3 +111,24 @@ def test_chunker():
     assert kinds == {"procedure"}
     assert chunking.classify("an ERROR occurred") == ("error_log", 0.9)
     assert chunking.classify("word " * 60)[0] in ("structured_content", "general_content")
+
+
+def test_ocr_rules(spark):
+    from skein.functions import ocr
+
+    row = spark.createDataFrame([([(5.0, 20.0, "b"), (1.0, 21.0, "a"), (1.0, 40.0, "c")], [("sure words here", 0.9), ("noise", 0.2)], "x\n```\ncode\n```\ny\n```\nz")], "s array<struct<x:double,y:double,text:string>>, p array<struct<text:string,confidence:double>>, t string")
+    got = row.select(ocr.lines_of_segments(F.col("s")).alias("lines"), ocr.sure_text(F.col("p")).alias("said"), ocr.without_fenced(F.col("t")).alias("plain")).first()
+    assert got["lines"] == ["a b", "c"] and got["said"] == "sure words here" and got["plain"] == "x\ny"
+    sizes = spark.createDataFrame([(60, 60, "full"), (60, 60, "selective"), (300, 200, "minimal"), (300, 200, "skip")], "w int, h int, m string")
+    assert [r[0] for r in sizes.select(ocr.readable(F.col("w"), F.col("h"), F.col("m"))).collect()] == [True, False, True, False]
+    assert one(spark, ocr.collapse_blank_lines(F.col("a")), a="a\n\n\n\nb\n\nc") == "a\n\nb\n\nc"
+
+
+def test_requests(spark):
+    from skein.functions import requests
+
+    rows = spark.createDataFrame([("12", ["u"], ["n"]), (" ", ["u"], None), ("x1", ["u"], []), ("0", ["u"], None), ("3", ["u", "v"], ["n"])], "d string, u array<string>, n array<string>")
+    errors = [r[0] for r in rows.select(requests.document_error(F.col("d"), F.col("u"), F.col("n"))).collect()]
+    assert errors == [None, "document_id is missing", "document_id is not a number", "document_id must be positive", "names and urls differ in number"]
+    pairs = rows.where("d = '3'").select(requests.zipped(F.col("u"), F.col("n")).alias("z")).first()["z"]
+    assert [(p["file_index"], p["url"], p["name"]) for p in pairs] == [(0, "u", "n"), (1, "v", None)]
