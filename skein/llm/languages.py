@@ -34,6 +34,8 @@ SAMPLE_DOCS, SAMPLE_CHARS = 192, 4000
 #: Bytes of a dictionary.
 DICT_BYTES = 65536
 LEVEL = 12
+#: How often a language must have a sentence, against the one that has it most, to keep it.
+SHARED = 0.3
 UNKNOWN = "und"
 SEGMENTS_TYPE = "array<struct<seg_start:int,seg_end:int,lang_code:string,confidence:double,sentences:int>>"
 
@@ -183,10 +185,14 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
         for x in parts:
             if x[0]:
                 count.setdefault(x, Counter())[lang] += 1
-    # A sentence under several labels has the commonest; then each half is cleaned by dictionaries of the other.
+    # A sentence stays under the labels that have it about as often as any; then each half is cleaned by dictionaries of the other.
+    size = Counter(lang for by in count.values() for lang in by.elements())
     halves: list[dict[str, list[tuple[str, str]]]] = [{lang: [] for lang in found} for _ in range(2)]
     for x, by in sorted(count.items()):
-        halves[hash_of(x[0]) % 2][max(sorted(by), key=by.__getitem__)].append(x)
+        most = max(n / size[lang] for lang, n in by.items())
+        for lang, n in by.items():
+            if n / size[lang] >= SHARED * most:
+                halves[hash_of(x[0]) % 2][lang].append(x)
     clean: dict[str, list[tuple[str, str]]] = {lang: [] for lang in found}
     for half, other in (halves, halves[::-1]):
         model = _build(other)

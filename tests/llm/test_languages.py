@@ -16,7 +16,7 @@ TEXTS = {
 
 @pytest.fixture(scope="module")
 def model(spark):
-    rows = [(t, lang) for lang, t in TEXTS.items()] * 3 + [(TEXTS["de"], "en"), (None, "en"), ("", "fr"), ("x", None)]
+    rows = [(f"{t} {k}", lang) for lang, t in TEXTS.items() for k in range(4)] + [(TEXTS["de"], "en"), (None, "en"), ("", "fr"), ("x", None)]
     return languages.train(spark.createDataFrame(rows, "text string, lang string"))
 
 
