@@ -72,7 +72,7 @@ def strip_page_lines(text: Column) -> Column:
 
 
 def join_hyphens(text: Column) -> Column:
-    return _sub(text, r"(\w)-\s+(\w)", "$1$2")
+    return _sub(text, r"(?U)(\w)-\s+(\w)", "$1$2")
 
 
 def join_lines(text: Column) -> Column:
@@ -149,14 +149,14 @@ def keep_legible(text: Column, least: float = 0.3) -> Column:
 
 def structure_markers(text: Column) -> Column:
     """Names of the groups of structure found anywhere in a text."""
-    named = [F.when(text.rlike("(?im)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(name)) for name, patterns in STRUCTURE.items()]
+    named = [F.when(text.rlike("(?imU)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(name)) for name, patterns in STRUCTURE.items()]
     return F.filter(F.array(*named), lambda m: m.isNotNull())
 
 
 def structure_ratio(text: Column) -> Column:
     """Matches of groups by lines, per line that is not blank."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    one = lambda x: sum((x.rlike("(?i)" + "|".join(f"(?:{p})" for p in ps)).cast("int") for ps in STRUCTURE.values()), F.lit(0))
+    one = lambda x: sum((x.rlike("(?iU)" + "|".join(f"(?:{p})" for p in ps)).cast("int") for ps in STRUCTURE.values()), F.lit(0))
     return F.try_divide(F.aggregate(F.transform(lines, one), F.lit(0), lambda a, n: a + n), F.size(lines))
 
 

@@ -10,10 +10,10 @@ from ..functions import text as tx
 
 #: Patterns of technical terms, by kind.
 TECHNICAL = {
-    "commands": r"(?i)\b[a-z]+\s*-[a-z]+\b",
+    "commands": r"(?iU)\b[a-z]+\s*-[a-z]+\b",
     "file_paths": r"[a-zA-Z]:\\[^\s]+|/[^\s]+",
-    "error_codes": r"(?i)\berror[_\s]*code[_\s]*\d+\b|\bcode[_\s]*\d+\b",
-    "configuration": r"(?i)\bconfig\w*\b|\bsetup\w*\b|\binstall\w*\b",
+    "error_codes": r"(?iU)\berror[_\s]*code[_\s]*\d+\b|\bcode[_\s]*\d+\b",
+    "configuration": r"(?iU)\bconfig\w*\b|\bsetup\w*\b|\binstall\w*\b",
 }
 
 

@@ -49,6 +49,19 @@ def _r(c, digits: int = 6):
     return F.round(c, digits)
 
 
+def _chain_sql(sql: str, steps: list[tuple[str, str]]) -> str:
+    """Replacements one after the other; the texts are SQL literals, escapes in the replacement included."""
+    for pattern, by in steps:
+        quoted = "E'" + by.replace("\\1", "\\\\1").replace("\\2", "\\\\2") + "'" if "\\" in by else f"'{by}'"
+        sql = f"regexp_replace({sql}, '{pattern}', {quoted}, 'g')"
+    return sql
+
+
+def _chain(sql: str, steps: list[tuple[str, str]], around: str) -> str:
+    head, tail = around.split("{}")
+    return head + _chain_sql(sql, steps) + tail
+
+
 #: Python's blanks as a class of DuckDB's regular expressions.
 SB = r"[\s\v\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{85}\x1C-\x1F]"
 
@@ -193,12 +206,16 @@ def clean_for_embedding(t):
     return t("chunks").select("chunk_key", tx.clean_for_embedding(F.col("page_content")).alias("cleaned"))
 
 
-@_query()
+@_query(_chain(
+    _squeezed(_chain_sql("replace(replace(replace(page_content, '—', '-'), '•', '*'), '…', '...')", [(r"===\s*Page\s+\d+\s*===", " "), (r"===\s*IMAGE TEXTS\s*===", " "), (r"Image\s+\d+:", " "), (r"[^\x20-\x7E\n]", ""), (r"\n+", " ")])),
+    [(r"-\w+\s+[\w\-_]+", " "), (r"\[\w+[\]\:]", " "), (r"/\w+", " "), (r"\|\s*\w+", " "), (r"\w+\.\w+\.\w+", " "), (r"\([^)]*\)", " "), ("mm/dd/yyyy", "date"), ("hh:mm:ss", "time"), (r"[^\w\s.,;:?!]", " "), (r"\s+", " ")],
+    "SELECT chunk_key, trim(substring(trim({}), 1, 6000)) AS cleaned FROM chunks",
+))
 def clean_for_embedding_aggressive(t):
     return t("chunks").select("chunk_key", tx.clean_for_embedding(F.col("page_content"), True).alias("cleaned"))
 
 
-@_query()
+@_query(_chain("text", [(r"\n\s*\n\s*\n+", r"\n\n"), (r"[ \t]+", " "), (r"[^\S\n]{3,}", " "), (r"([.!?])\s*([A-Z])", r"\1 \2"), (r"(?i)\n\s*(Page|페이지)\s*\d+\s*\n", r"\n"), (r"\n+([.,:;!?])", r"\1")], "SELECT doc_id, trim({}, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM documents"))
 def preprocess_text(t):
     return t("documents").select("doc_id", tx.preprocess(F.col("text")).alias("text"))
 
@@ -208,7 +225,7 @@ def strip_page_lines(t):
     return t("scanned_pages").select("page_key", tx.strip_page_lines(F.col("page_content")).alias("body"))
 
 
-@_query("SELECT page_key, regexp_replace(page_content, '([0-9A-Za-z_])-\\s+([0-9A-Za-z_])', '\\1\\2', 'g') AS body FROM scanned_pages")
+@_query("SELECT page_key, regexp_replace(page_content, '([\\p{L}\\p{N}\\p{M}_])-" + SB + "+([\\p{L}\\p{N}\\p{M}_])', '\\1\\2', 'g') AS body FROM scanned_pages")
 def join_hyphens(t):
     return t("scanned_pages").select("page_key", tx.join_hyphens(F.col("page_content")).alias("body"))
 
@@ -292,7 +309,7 @@ def html_images(t):
     return t("resolve").select("resolve_id", "created_at", F.explode(ft.image_links(F.col("content"))).alias("src"))
 
 
-@_query()
+@_query("WITH b AS (SELECT resolve_id, " + _chain_sql("content", [(r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " "), (r"(?i)</?(p|h[1-6]|li|ul|ol|div|tr|table|br|section|article|blockquote|pre)\b[^>]*>", r"\n"), ("<[^>]*>", ""), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")]) + " AS body, created_at FROM resolve), l AS (SELECT resolve_id, list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM b) SELECT resolve_id, unnest(range(0, len(l)))::INT AS line_no, unnest(l) AS line FROM l")
 def html_text(t):
     return t("resolve").select("resolve_id", F.posexplode(ft.html_lines(F.col("content"))).alias("line_no", "line"))
 
@@ -536,7 +553,7 @@ def chat_titles(t):
     return conversations.titles(t("chat_messages"))
 
 
-@_query()
+@_query(f"WITH m AS (SELECT conv_id, turn, {_ROLES} AS role, arg_min(content, message_id) AS content FROM chat_messages GROUP BY ALL), k AS (SELECT * FROM m WHERE role <> 'system' AND content IS NOT NULL), e AS (SELECT conv_id, max(turn) AS e FROM k GROUP BY conv_id) SELECT conv_id, string_agg(upper(role[1]) || role[2:] || ': ' || content, chr(10) || chr(10) ORDER BY turn, role) AS history FROM k JOIN e USING (conv_id) WHERE turn > e - 10 GROUP BY conv_id")
 def chat_history(t):
     return conversations.history(t("chat_messages"))
 

@@ -132,3 +132,14 @@ def test_requests(spark):
     assert errors == [None, "document_id is missing", "document_id is not a number", "document_id must be positive", "names and urls differ in number"]
     pairs = rows.where("d = '3'").select(requests.zipped(F.col("u"), F.col("n")).alias("z")).first()["z"]
     assert [(p["file_index"], p["url"], p["name"]) for p in pairs] == [(0, "u", "n"), (1, "v", None)]
+
+
+def test_structure_equals_the_chunkers(spark):
+    texts = ["La tâche de réplication est lente", "| a | b |\nplain", "# Kopf\n- Punkt", "1. Énumération", "Page 3\nDate: x", "", "한국어 문장 하나 입니다", "def f(x):\n  return {}"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r["k"]: r for r in rows.select("k", tx.structure_markers(F.col("t")).alias("m"), tx.structure_ratio(F.col("t")).alias("r")).collect()}
+    for k, text in enumerate(texts):
+        assert got[k]["m"] == chunking.markers(text)
+        lines = [x for x in text.split("\n") if x.strip()]
+        hits = sum(bool(p.search(x)) for x in lines for p in chunking._GROUPS.values())
+        assert got[k]["r"] == (hits / len(lines) if lines else None)
