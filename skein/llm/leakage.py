@@ -38,7 +38,7 @@ SIEVE_BITS = 22
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MARK = re.compile(r"(?m)^[ \t]*(?:(?:[>#*|•–-]+|\(?\d{1,4}[.):\]|])[ \t]+)+")
 _BROKEN = re.compile(r"(?<=\w)[-‐]\n(?=\w)")
-_WORD = re.compile(r"[^\W_]+")
+_SIGN = re.compile(r"(?:_|[^\w\s])+")
 
 
 @lru_cache(maxsize=1)
@@ -55,8 +55,8 @@ def _fold() -> np.ndarray:
 
 
 def words_of(text: str) -> list[str]:
-    """Words of a text without case, line marks and signs."""
-    return _WORD.findall(_MARK.sub("", text).lower())
+    """Words of a text, as blanks part them, without case, line marks and signs (``n'en`` is one word)."""
+    return [w for w in _SIGN.sub("", _MARK.sub("", text).lower()).split() if w]
 
 
 def _grams(stream: np.ndarray) -> np.ndarray:
