@@ -110,7 +110,7 @@ def _cuts(texts: pa.Array, limits: np.ndarray, overlaps: np.ndarray) -> pa.Array
 
 
 def _cuts_udf(texts: pa.Array, limits: pa.Array, overlaps: pa.Array) -> pa.Array:
-    most = np.maximum(limits.fill_null(1).to_numpy(zero_copy_only=False).astype(np.int64), 1)
+    most = np.maximum(limits.cast(pa.int64()).fill_null(2**31 - 1).to_numpy(zero_copy_only=False).astype(np.int64), 1)
     again = overlaps.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     return _cuts(texts, most, np.clip(again, 0, most - 1))
 
@@ -122,7 +122,8 @@ def greedy_cuts(text: Column, max_chars: Column, overlap_chars: Column) -> Colum
     ``overlap_chars``; a piece is ``forced`` where it had to end inside a stretch
     without any natural boundary.  Sentence and line ends are preferred in the
     second half of the limit.  A null text gives null, an empty one no piece; a
-    limit below 1 counts as 1, an overlap is kept below the limit.
+    limit below 1 counts as 1, none leaves the text whole, an overlap is kept below
+    the limit.
     """
     return F.arrow_udf(_cuts_udf, CUTS_TYPE)(text, max_chars, overlap_chars)
 
@@ -131,15 +132,15 @@ def with_limits(chunks: DataFrame, limits: DataFrame, default_type: str = "gener
     """Add ``max_chars`` and ``overlap_chars`` of each row's ``chunk_type``.
 
     Types are compared without case and outer blanks; null and unknown types use
-    ``default_type``.  Should a type be listed twice, the smaller limit counts.
+    ``default_type``; without that one either, the limit is null and the text is not
+    cut.  Should a type be listed twice, the smaller limit counts.
     """
     key = lambda c: F.lower(F.trim(c))
     known = limits.where(F.col("chunk_type").isNotNull()).groupBy(key(F.col("chunk_type")).alias("_kind")).agg(F.min(F.struct("max_chars", "overlap_chars")).alias("_limit"))
-    known = broadcast_checked(known)
-    usual = known.where(F.col("_kind") == default_type).select(F.col("_limit").alias("_usual"))
-    plain = chunks.drop("max_chars", "overlap_chars", "_kind", "_limit", "_usual")
-    joined = plain.withColumn("_kind", key(F.col("chunk_type"))).join(known, "_kind", "left").join(F.broadcast(usual), how="left")
-    pick = lambda c: F.coalesce(F.col(f"_limit.{c}"), F.col(f"_usual.{c}")).alias(c)
+    row = known.where(F.col("_kind") == default_type).first()
+    plain = chunks.drop("max_chars", "overlap_chars", "_kind", "_limit")
+    joined = plain.withColumn("_kind", key(F.col("chunk_type"))).join(broadcast_checked(known), "_kind", "left")
+    pick = lambda c: F.coalesce(F.col(f"_limit.{c}"), F.lit(row["_limit"][c] if row else None).cast("int")).alias(c)
     return joined.select(*plain.columns, pick("max_chars"), pick("overlap_chars"))
 
 

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from skein.llm import frames, splitting
 
@@ -64,6 +65,8 @@ def test_operator(spark):
 def test_limits(spark):
     limits = spark.createDataFrame([("general_content", 10, 2), ("summary", 5, 1)], "chunk_type string, max_chars int, overlap_chars int")
     rows = spark.createDataFrame([(1, " SUMMARY "), (2, None), (3, "odd")], "k int, chunk_type string")
+    none = splitting.split_oversized(splitting.with_limits(rows, limits.limit(0)).withColumn("t", F.lit("some words")), "t")
+    assert none.count() == 3
     assert {r["k"]: r["max_chars"] for r in splitting.with_limits(rows, limits).collect()} == {1: 5, 2: 10, 3: 10}
 
 
