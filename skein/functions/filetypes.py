@@ -95,3 +95,8 @@ def html_lines(html: Column) -> Column:
     for mark, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         body = F.replace(body, F.lit(mark), F.lit(sign))
     return F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+
+
+def data_uri_bytes(src: Column) -> Column:
+    """The bytes of a base64 data URI; null for other links."""
+    return F.when(src.rlike(r"(?i)^data:[^,]*;base64,"), F.try_to_binary(F.substring_index(src, ",", -1), F.lit("base64")))

@@ -185,3 +185,26 @@ def overlap_tail(text: Column, size: int = 200) -> Column:
     n = F.length(tail)
     cut = F.when(stop > 0.3 * n, stop + 2).when(at("\n\n") > 0.2 * n, at("\n\n") + 2).when(at(" ") > 0.1 * n, at(" ") + 1).otherwise(0)
     return F.when(F.length(text) <= size, text).otherwise(F.substring(tail, cut + 1, F.length(tail)))
+
+
+def segments(text: Column, most_words: int = 200) -> Column:
+    """Sentences put together in order while they have at most ``most_words`` words; a longer sentence stands alone."""
+    size = lambda s: F.size(F.filter(F.split(squeeze(s), " "), lambda w: w != ""))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
+
+    def step(acc: Column, s: Column) -> Column:
+        fits = (acc["n"] == 0) | (acc["n"] + size(s) <= most_words)
+        done = F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
+        body = F.when(fits & (acc["n"] > 0), F.concat_ws(" ", acc["open"], s)).otherwise(s)
+        return F.struct(done.alias("done"), body.alias("open"), F.when(fits, acc["n"] + size(s)).otherwise(size(s)).alias("n"))
+
+    close = lambda acc: F.when(acc["n"] > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
+    return F.aggregate(split_sentences(text, 1), start, step, close)
+
+
+def section_between(text: Column, start: str, end: str) -> Column:
+    """What stands between two marks, trimmed; up to the end without the second mark, null without the first."""
+    at = F.instr(text, start)
+    rest = F.substring(text, at + len(start), F.length(text))
+    stop = F.instr(rest, end)
+    return F.when(at > 0, F.btrim(F.when(stop > 0, F.substring(rest, F.lit(1), stop - 1)).otherwise(rest), F.lit(" \t\n\r")))

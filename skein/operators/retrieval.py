@@ -124,3 +124,10 @@ def member_score(dynamic: Column, own: Column, age_days: Column) -> Column:
     """Rank of a chunk for a member: a bonus for one's own and for the last seven days."""
     fresh = F.when(age_days < 7, 0.1 * (7 - age_days) / 7).otherwise(0.0)
     return 0.4 + 0.3 * dynamic + 0.2 * F.when(own, 0.15).otherwise(0.0) + 0.1 * fresh
+
+
+def reward(length: Column, feedback: Column, dynamic: Column | None = None) -> Column:
+    """How good an answer was, from 0 to 1: its length up to 1000 characters, then feedback (7 tenths), then its rank (3 tenths)."""
+    base = F.least(length / 1000.0, F.lit(1.0))
+    mixed = F.when(feedback.isNull(), base).otherwise(0.3 * base + 0.7 * feedback)
+    return mixed if dynamic is None else 0.7 * mixed + 0.3 * dynamic

@@ -143,3 +143,16 @@ def test_structure_equals_the_chunkers(spark):
         lines = [x for x in text.split("\n") if x.strip()]
         hits = sum(bool(p.search(x)) for x in lines for p in chunking._GROUPS.values())
         assert got[k]["r"] == (hits / len(lines) if lines else None)
+
+
+def test_segments_and_sections(spark):
+    text = "One two three. Four five six. Seven eight nine ten eleven. Twelve."
+    assert one(spark, tx.segments(F.col("a"), 6), a=text) == ["One two three. Four five six.", "Seven eight nine ten eleven. Twelve."]
+    assert one(spark, tx.segments(F.col("a"), 2), a=text) == ["One two three.", "Four five six.", "Seven eight nine ten eleven.", "Twelve."]
+    assert one(spark, tx.segments(F.col("a"), 6), a="") == []
+    assert one(spark, tx.section_between(F.col("a"), "Cause:", "Fix:"), a="x Cause: disk full\n Fix: none") == "disk full"
+    assert one(spark, tx.section_between(F.col("a"), "Cause:", "Fix:"), a="no marks") is None
+    assert bytes(one(spark, ft.data_uri_bytes(F.col("a")), a="data:image/png;base64,aGk=")) == b"hi" and one(spark, ft.data_uri_bytes(F.col("a")), a="/x.png") is None
+    from skein.operators.retrieval import reward
+
+    assert one(spark, reward(F.length("a"), F.lit(1.0)), a="x" * 500) == pytest.approx(0.85)
