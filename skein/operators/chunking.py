@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .spread import spread
 
 CHUNKS_TYPE = "array<struct<text:string,chunk_type:string,confidence:double,structure_markers:array<string>,has_overlap:boolean>>"
 #: Where a structured text may be cut; the boundary itself stays with the text.
@@ -125,7 +126,7 @@ def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([chunk_text(t, size, overlap) for t in texts.to_pylist()], kind)
 
-    rows = docs.select(key, F.arrow_udf(run, CHUNKS_TYPE)(text).alias("_c")).select(key, F.size("_c").alias("chunk_count"), F.posexplode("_c").alias("chunk_index", "_x"))
+    rows = spread(docs.select(key, text)).select(key, F.arrow_udf(run, CHUNKS_TYPE)(text).alias("_c")).select(key, F.size("_c").alias("chunk_count"), F.posexplode("_c").alias("chunk_index", "_x"))
     return rows.select(key, "chunk_index", "chunk_count", "_x.*")
 
 

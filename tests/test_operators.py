@@ -106,3 +106,15 @@ def test_conversations(spark):
     assert [tuple(r) for r in conversations.titles(rows).collect()] == [(1, "A backup?")]
     assert conversations.history(rows).first()["history"] == "User: what is a backup?\n\nAssistant: a copy\n\nUser: more"
     assert [tuple(r) for r in conversations.user_analytics(rows).collect()] == [(9, 2, 6)]
+
+
+def test_spread_only_small_inputs_of_few_files(spark, tmp_path, monkeypatch):
+    from skein.operators import spread
+
+    path = str(tmp_path / "a b")
+    spark.range(100).coalesce(1).write.parquet(path)
+    rows = spark.read.parquet(path)
+    assert spread.spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread.spread(rows).count() == 100
+    monkeypatch.setattr(spread, "SMALL_BYTES", 1)
+    assert spread.spread(rows).rdd.getNumPartitions() == 1
+    assert spread.spread(spark.range(3)).count() == 3
