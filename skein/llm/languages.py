@@ -17,6 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread
 from .lookalikes import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS, OTHER, OTHER_AS, UNSEEN
 
 #: Two-letter codes and the names under which labels give them (besides locales such as ``en-US``).
@@ -286,7 +287,7 @@ def detect(df: DataFrame, text: str, model) -> DataFrame:
 
 def label_cases(df: DataFrame, key: str, text: str, label: str, model) -> DataFrame:
     """Rows ``(<key>, lang_code)``: the language of texts whose label is missing or another, all languages of mixed texts."""
-    plain = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), code_of(F.col(label)).alias("_label"))
+    plain = spread(df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), code_of(F.col(label)).alias("_label")))
     found = detect(plain, "_text", model).select(F.col("_key").alias(key), "_label", F.transform("languages", lambda x: x["lang_code"]).alias("_codes"))
     known = F.filter("_codes", lambda c: c != UNKNOWN)
     rows = found.select(key, "_label", known.alias("_codes")).where((F.size("_codes") > 1) | (F.size("_codes") == 1) & ~F.col("_codes")[0].eqNullSafe(F.col("_label")))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread
 from .durable import durable
 from .sizes import broadcast_checked
 
@@ -109,7 +110,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame, key: str = "doc_id", text:
     sources that are not listed, or of none, are not used.  A document without
     text has no tokens and is not used.
     """
-    sized = docs.select(F.col(key).alias("_key"), F.lower(F.trim(F.col(source))).alias("source"), token_count(F.col(text), folder, tokenizer).alias("n_tokens"))
+    sized = spread(docs.select(key, source, text)).select(F.col(key).alias("_key"), F.lower(F.trim(F.col(source))).alias("source"), token_count(F.col(text), folder, tokenizer).alias("n_tokens"))
     sized = durable(sized.where("source is not null and n_tokens > 0"))
     plan = durable(plan_shares(sized, weights, total_tokens))
     used = sized.join(broadcast_checked(plan.where("rate > 0").select("source", "rate", "max_repeats", "have_docs")), "source")
