@@ -1,7 +1,7 @@
 """Repair text read from page images.
 
-The lines of a page are strung into one stream of words and decoded together:
-a word may stand as it is, be a known word with misread characters, be broken
+The lines of a page are strung into one stream of words and decoded together by
+dynamic programming: a word may stand as it is, be a known word with misread characters, be broken
 over two lines, be torn apart by a blank or have swallowed one.  What is known
 comes from the corpus itself: the words that all pages share.  Running headers
 are lines that a file repeats at the edges of its pages.  Paragraphs are cut by
@@ -42,6 +42,8 @@ HEADER_PAGES, PAGE_BLOCK = 3, 512
 HEADER_SHARE = 0.125
 #: How much more frequent a word is than its misreadings, at least.
 RATIO = 40
+#: Costs of a reading, in natural logarithms of its chance: a misread sign, a blank put in, a blank lost, an unknown word, each of its letters and each of its Hangul syllables.
+MISREAD_COST, TORN_COST, LOST_COST, UNKNOWN_COST, LETTER_COST, SYLLABLE_COST = 3.0, 4.0, 12.0, 10.0, 2.5, 5.0
 
 NOISE_TYPE = "array<struct<line_no:int,noise:string>>"
 LINES_TYPE = "array<struct<line_no:int,skeleton:string,edge:boolean,number:boolean,head:string>>"
@@ -164,6 +166,8 @@ class Lexicon:
                 at = w.find("-", at + 1)
         self.meant = lru_cache(maxsize=300_000)(self._meant)
         self.fixed = lru_cache(maxsize=300_000)(self._fixed)
+        self.total = max(1, sum(counts.values()))
+        self.reading = lru_cache(maxsize=300_000)(self._reading)
 
     def known(self, word: str) -> int:
         """How often a word stands in the corpus; a capital at its start does not matter."""
@@ -230,6 +234,52 @@ class Lexicon:
                 return chunk[:at] + meant + chunk[at + len(core) :]
         return chunk
 
+    def cost(self, word: str) -> float:
+        """What a word costs: little if it is common, more for each letter if it is unknown."""
+        n = self.known(word)
+        return math.log(self.total / n) if n else UNKNOWN_COST + sum(SYLLABLE_COST if "가" <= c <= "힣" else LETTER_COST for c in word)
+
+    def divided(self, word: str) -> tuple[str, float, int] | None:
+        """An unknown word as the words that ran together in it: these, their cost, and the place of the first misread sign or -1.
+
+        The cheapest division of the characters into common words, as they stand or
+        with a misread part; None if leaving the word whole is cheaper.  Scripts
+        written without blanks are not divided.
+        """
+        if not 4 <= len(word) <= 60 or any("\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff" for c in word):
+            return None
+        best: list[tuple[float, str, int]] = [(0.0, "", -1), *[(math.inf, "", -1)] * len(word)]
+        for end in range(1, len(word) + 1):
+            for begin in range(end):
+                if best[begin][0] == math.inf or end - begin == len(word):
+                    continue
+                part, misread = word[begin:end], -1
+                meant = part
+                if self.known(part) < RATIO:
+                    meant = max(self._variants(part), key=lambda w: (self.known(w), w), default=part) if len(part) > 1 else part
+                    if self.known(meant) < RATIO or any(c.isdigit() for c in meant):
+                        continue
+                    misread = begin + next((k for k, (x, y) in enumerate(zip(part, meant)) if x != y), 0)
+                before, words, first = best[begin]
+                cost = before + self.cost(meant) + (LOST_COST if begin else 0.0) + (MISREAD_COST if misread >= 0 else 0.0)
+                if cost < best[end][0]:
+                    best[end] = (cost, f"{words} {meant}" if begin else meant, first if first >= 0 else misread)
+        cost, words, first = best[-1]
+        return (words, cost, first) if cost < self.cost(word) else None
+
+    def _reading(self, chunk: str, whole: bool) -> tuple[str, float, bool]:
+        """The cheapest reading of a chunk by itself, its cost, and whether it was misread; ``whole``: it did not lose its beginning or end."""
+        fixed = self.fixed(chunk)
+        at, core = _core(fixed)
+        cost = self.cost(core)
+        if fixed != chunk:
+            return fixed, cost + MISREAD_COST, True
+        if whole and self.known(core) < KNOWN_LEAST and not is_code(chunk):
+            parts = self.divided(core)
+            if parts:
+                return fixed[:at] + parts[0] + fixed[at + len(core) :], parts[1], parts[2] >= 0
+        return fixed, cost, False
+
     def joined(self, left: str, right: str) -> str | None:
         """The word that was broken into ``left`` and ``right`` at the end of a line; None if the hyphen is its own."""
         if not left or not right or not left[-1].isalpha() or not right[0].isalpha() and right[0] not in "@|0156":
@@ -266,8 +316,10 @@ def _core(chunk: str) -> tuple[int, str]:
 def decode(content: str, headers: set[int], next_head: str | None, page_no: int | None, lexicon: Lexicon, has_next: bool = True) -> tuple[list[tuple[int, str]], list[tuple[int, str, bool]]]:
     """Noise ``(line_no, kind)`` of a page, and its lines of running text ``(line_no, repaired, joined to the next)``.
 
-    The words of the running text are taken as one stream, in which the cheapest
-    reading of each word or pair of words is chosen from left to right.
+    The words of the running text are taken as one stream.  Each chunk may stand as
+    it is, be misread, be several words that ran together, be joined to the chunks
+    after it that a blank tore off, or be broken at the end of its line; of all ways
+    through the stream the one with the least total cost is chosen.
     """
     noise: list[tuple[int, str]] = []
     numbers = {no for no, _, _, number, _ in page_lines(content, page_no) if number}
@@ -282,75 +334,105 @@ def decode(content: str, headers: set[int], next_head: str | None, page_no: int
     stream: list[tuple[int, int, str]] = []  # line, place in the line, chunk
     for k, (_, line) in enumerate(lines):
         stream += [(k, m.start(), m[0]) for m in _CHUNK.finditer(line)]
+    best, back = [0.0, *[math.inf] * len(stream)], [None] * (len(stream) + 1)
+    for i in range(len(stream)):
+        if best[i] == math.inf:
+            continue
+        for reading in _readings(stream, i, next_head, lexicon):
+            cost = best[i] + reading[1]
+            if cost < best[reading[0]]:
+                best[reading[0]], back[reading[0]] = cost, (i, reading)
     out: list[list[str]] = [[] for _ in lines]
     glued = [False] * len(lines)
     broken, misread = set(), set()
-    i = 0
-    while i < len(stream):
-        k, _, chunk = stream[i]
-        last_of_line = i + 1 == len(stream) or stream[i + 1][0] != k
-        if last_of_line and len(chunk) > 1 and chunk[-1] in BREAK_SIGNS and chunk[-2].isalnum():
-            at, left = _core(chunk[:-1])
-            if i + 1 < len(stream):
-                n, _, following = stream[i + 1]
-                tail_at, right = _core(following)
-                whole = lexicon.joined(left, right) if tail_at == 0 else None
-                if whole is None and chunk[-1] in "­¬" and right:
-                    whole = left + right
-                if whole is not None:
-                    broken.add(k)
-                    plain = left + right
-                    meant = whole if whole != plain else lexicon.meant(plain) or plain
-                    if meant != plain:
-                        first = next((p for p, (x, y) in enumerate(zip(plain, meant)) if x != y), min(len(plain), len(meant)))
-                        misread.add(k if first < len(left) else n)
-                    out[k].append(chunk[:at] + meant + following[len(right) :])
-                    glued[k] = True
-                    i += 2
-                    continue
-            elif next_head:
-                tail_at, right = _core(next_head.split()[0])
-                whole = lexicon.joined(left, right) if tail_at == 0 else None
-                if whole is not None or chunk[-1] in "­¬":
-                    broken.add(k)
-                    glued[k] = True
-                    meant = whole if whole and whole != left + right else lexicon.meant(left + right)
-                    if meant and any(x != y for x, y in zip(left, meant)):
-                        misread.add(k)
-                out[k].append(chunk)
-                i += 1
-                continue
-            elif lexicon.open_end(left) or chunk[-1] in "­¬":
-                broken.add(k)
-                out[k].append(chunk)
-                i += 1
-                continue
-        fixed = lexicon.fixed(chunk)
-        if fixed != chunk:
-            misread.add(k)
-        elif i + 1 < len(stream) and stream[i + 1][0] == k:
-            both = _torn(chunk, stream[i + 1][2], lexicon)
-            if both:
-                out[k].append(both)
-                i += 2
-                continue
-        out[k].append(fixed)
-        i += 1
+    i = len(stream)
+    while i:
+        i, (_, _, words, hyphen, glue, wrong) = back[i]
+        k = stream[i][0]
+        out[k].append(words)
+        glued[k] |= glue
+        if hyphen:
+            broken.add(k)
+        if wrong is not None:
+            misread.add(wrong)
+    for words in out:
+        words.reverse()
     noise += [(lines[k][0], "hyphen") for k in sorted(broken)] + [(lines[k][0], "misread") for k in sorted(misread)]
     return noise, [(no, " ".join(words), joined) for (no, _), words, joined in zip(lines, out, glued)]
 
 
-def _torn(chunk: str, following: str, lexicon: Lexicon) -> str | None:
-    """Two chunks as one word if neither is known but both together are."""
-    if chunk in lexicon.counts or len(chunk) < 2:
-        return None
-    _, left = _core(chunk)
-    if left != chunk or lexicon.known(left) >= KNOWN_LEAST or is_code(chunk):
-        return None
-    at, right = _core(following)
-    if at or len(right) < 2 or lexicon.known(right) >= KNOWN_LEAST or lexicon.known(left + right) < 3:
-        return None
-    return left + following
+def _readings(stream: list[tuple[int, int, str]], i: int, next_head: str | None, lexicon: Lexicon) -> list[tuple[int, float, str, bool, bool, int | None]]:
+    """Readings of the chunk at ``i``: ``(next place, cost, words, broken, joined to the next line, misread line)``."""
+    k, _, chunk = stream[i]
+    last_of_line = i + 1 == len(stream) or stream[i + 1][0] != k
+    if last_of_line and len(chunk) > 1 and chunk[-1] in BREAK_SIGNS and chunk[-2].isalnum():
+        at, left = _core(chunk[:-1])
+        if i + 1 < len(stream):
+            found = _broken(stream, i, at, left, lexicon)
+            if found:
+                return found
+        elif next_head:
+            tail_at, right = _core(next_head.split()[0])
+            whole = lexicon.joined(left, right) if tail_at == 0 else None
+            hyphen = whole is not None or chunk[-1] in "­¬"
+            meant = (whole if whole and whole != left + right else lexicon.meant(left + right)) if hyphen else None
+            wrong = k if meant and any(x != y for x, y in zip(left, meant)) else None
+            return [(i + 1, 0.0, chunk, hyphen, hyphen, wrong)]
+        elif lexicon.open_end(left) or chunk[-1] in "­¬":
+            return [(i + 1, 0.0, chunk, True, False, None)]
+    # A chunk after a hyphen, or the first of a page, may be the rest of a word.
+    rest = i == 0 and chunk[:1].islower() or i > 0 and stream[i - 1][0] != k and stream[i - 1][2][-1] in BREAK_SIGNS
+    words, cost, wrong = lexicon.reading(chunk, not rest and chunk[-1] not in BREAK_SIGNS)
+    return [(i + 1, cost, words, False, False, k if wrong else None), *_torn(stream, i, lexicon)]
+
+
+def _broken(stream: list[tuple[int, int, str]], i: int, at: int, left: str, lexicon: Lexicon) -> list[tuple[int, float, str, bool, bool, int | None]]:
+    """Readings of a chunk that a line's end broke, with the next chunk or with the pieces that a blank tore that one into."""
+    k, _, chunk = stream[i]
+    n, found, following, j = stream[i + 1][0], [], "", i + 1
+    while j < len(stream) and stream[j][0] == n:
+        piece_at, piece = _core(stream[j][2])
+        if following and (piece_at or len(piece) < 2 or lexicon.known(piece) >= RATIO * max(1, lexicon.known(left + following + piece)) or lexicon.known(left + following + piece) < 3):
+            break
+        following += stream[j][2]
+        tail_at, right = _core(following)
+        whole = lexicon.joined(left, right) if tail_at == 0 else None
+        if whole is None and chunk[-1] in "­¬" and right:
+            whole = left + right
+        if whole is not None:
+            plain = left + right
+            meant = whole if whole != plain else lexicon.meant(plain) or plain
+            cost, wrong = lexicon.cost(meant) + (j - i - 1) * TORN_COST, None
+            if meant != plain:
+                first = next((p for p, (x, y) in enumerate(zip(plain, meant)) if x != y), min(len(plain), len(meant)))
+                cost, wrong = cost + MISREAD_COST, k if first < len(left) else n
+            elif lexicon.known(plain) < KNOWN_LEAST and not is_code(plain) and (parts := lexicon.divided(plain)):
+                meant, cost = parts[0], parts[1] + (j - i - 1) * TORN_COST
+                wrong = None if parts[2] < 0 else k if parts[2] < len(left) else n
+            found.append((j + 1, cost, chunk[:at] + meant + following[len(right) :], True, True, wrong))
+        if right != following:
+            break
+        j += 1
+    return found
+
+
+def _torn(stream: list[tuple[int, int, str]], i: int, lexicon: Lexicon) -> list[tuple[int, float, str, bool, bool, int | None]]:
+    """Readings of chunks of one line as one word, if none of them is known but all together are."""
+    k, _, chunk = stream[i]
+    if chunk in lexicon.counts or len(chunk) < 2 or _core(chunk)[1] != chunk or lexicon.known(chunk) >= KNOWN_LEAST or is_code(chunk) or lexicon.fixed(chunk) != chunk:
+        return []
+    found, word, j = [], chunk, i + 1
+    while j < len(stream) and stream[j][0] == k and len(word) <= 60:
+        at, right = _core(stream[j][2])
+        if at or len(right) < 2 or lexicon.known(right) >= KNOWN_LEAST:
+            break
+        if lexicon.known(word + right) >= 3:
+            found.append((j + 1, lexicon.cost(word + right) + (j - i) * TORN_COST, word + stream[j][2], False, False, None))
+        if right != stream[j][2]:
+            break
+        word += right
+        j += 1
+    return found
 
 
 def paragraphs(lines: list[tuple[int, str, bool]]) -> list[list[tuple[int, str, bool]]]:

@@ -71,3 +71,14 @@ def test_paragraphs_go_on_over_pages(spark, pages):
     got = scans.repaired_paragraphs(pages).where("file_id = 1").collect()
     joined = [r["paragraph"] for r in got if r["first_page"] != r["last_page"]]
     assert joined and all("replication service" in p for p in joined) and not any("Vault" in r["paragraph"] for r in got)
+
+
+@pytest.mark.parametrize(("line", "read", "misread"), [("the backupjob failed", "the backup job failed", False), ("thejob", "thejob", False), ("Thejob reported", "The job reported", False), ("every backupj0b failed", "every backup job failed", True), ("the rep lica tion service", "the replication service", False), ("zebra unknowable", "zebra unknowable", False)])
+def test_words_that_ran_together(lexicon, line, read, misread):
+    noise, lines = scans.decode(line, set(), None, 1, lexicon)
+    assert lines[0][1] == read and noise == ([(1, "misread")] if misread else [])
+
+
+def test_cheapest_way_over_a_line_end(lexicon):
+    assert scans.decode("the replica-\nti on service", set(), None, 1, lexicon)[1][0][1] == "the replication"
+    assert scans.decode("the replica-\ntionservice failed", set(), None, 1, lexicon)[1][0][1] == "the replication service"
