@@ -99,20 +99,44 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
-def word_set(text: Column, most: int = 100) -> Column:
-    return F.array_distinct(F.filter(F.slice(F.split(F.lower(tx.squeeze(text)), " "), 1, most), lambda w: w != ""))
+def word_set(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(tx.squeeze(text)), " "), lambda w: w != ""))
 
 
-def pick_diverse(candidates: DataFrame, group: str, key: str, text: str, score: str, k: int = 5, limit: float = 0.75) -> DataFrame:
+def weighted_overlap(a: Column, b: Column, domain: Column, query: Column) -> Column:
+    """Common words of two arrays over all their words; 0 if one is empty.
+
+    A common word counts double if it is a domain term, one and a half if it is a
+    word of the query; a domain term that only one of them has adds a half below.
+    """
+    both, either = F.array_intersect(a, b), F.array_union(a, b)
+    terms = F.size(F.array_intersect(both, domain))
+    above = F.size(both) + terms + 0.5 * F.size(F.array_except(F.array_intersect(both, query), domain))
+    below = F.size(either) + 0.5 * (F.size(F.array_intersect(either, domain)) - terms)
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(above / F.greatest(below, F.lit(1.0)))
+
+
+def best_each(rows: DataFrame, group: str, key: str, score: str, k: int = 15) -> DataFrame:
+    """The ``k`` rows of each group with the highest score, ties to the smaller key; of 64 slots of a group each gives its own best first."""
+    order = [F.desc(score), key]
+    local = rows.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(64))).withColumn("_r", F.row_number().over(W.partitionBy(group, "_slot").orderBy(*order))).where(F.col("_r") <= k)
+    return local.withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("_r") <= k).drop("_slot", "_r")
+
+
+def pick_diverse(candidates: DataFrame, group: str, key: str, text: str, score: str, k: int = 5, limit: float = 0.75, domain: DataFrame | None = None, query: str = "") -> DataFrame:
     """Greedy choice per query: best first, leaving out whatever is too like one chosen before.
 
-    Candidates are few per query (see :func:`union_candidates`), so each query's
-    are folded in one array.
+    Whole texts are compared by :func:`weighted_overlap`; ``domain`` holds a few
+    ``term`` rows.  Candidates are few per query (see :func:`union_candidates` and
+    :func:`best_each`), so each query's are folded in one array.
     """
+    empty_terms = F.array().cast("array<string>")
+    asked = F.array(*[F.lit(w) for w in dict.fromkeys(query.lower().split())]).cast("array<string>")
     entry = F.struct((-F.col(score)).alias("s"), F.col(key).alias("k"), word_set(F.col(text)).alias("w"))
     rows = candidates.groupBy(group).agg(F.sort_array(F.collect_list(entry)).alias("_c"))
+    rows = rows.withColumn("_d", empty_terms) if domain is None else rows.crossJoin(F.broadcast(domain.agg(F.collect_set("term").alias("_d"))))
     empty = F.slice("_c", 1, 0)
-    chosen = F.aggregate("_c", empty, lambda acc, c: F.when((F.size(acc) < k) & ~F.exists(acc, lambda a: jaccard(a["w"], c["w"]) > limit), F.concat(acc, F.array(c))).otherwise(acc))
+    chosen = F.aggregate("_c", empty, lambda acc, c: F.when((F.size(acc) < k) & ~F.exists(acc, lambda a: weighted_overlap(a["w"], c["w"], F.col("_d"), asked) > limit), F.concat(acc, F.array(c))).otherwise(acc))
     return rows.select(group, F.posexplode(chosen).alias("_p", "_c")).select(group, (F.col("_p") + 1).alias("rank"), F.col("_c.k").alias(key), (-F.col("_c.s")).alias(score))
 
 

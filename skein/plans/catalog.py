@@ -176,8 +176,8 @@ def diversity_by_source(t):
 def diverse_selection(t):
     docs = t("documents").where("text is not null and source is not null")
     scored = retrieval.term_hits(docs, retrieval.query_terms(FLAGSHIP_QUESTION)).withColumn("score", F.col("hits") / F.length("text"))
-    top = scored.groupBy("source", F.pmod(F.xxhash64("doc_id"), F.lit(15)).alias("c")).agg(F.max_by(F.struct("doc_id", "text", "score"), F.struct("score", -F.col("doc_id"))).alias("b")).select("source", "b.*")
-    return retrieval.pick_diverse(top, "source", "doc_id", "text", "score")
+    top = retrieval.best_each(scored.select("source", "doc_id", "text", "score"), "source", "doc_id", "score")
+    return retrieval.pick_diverse(top, "source", "doc_id", "text", "score", domain=corpus.tfidf_terms(docs), query=FLAGSHIP_QUESTION)
 
 
 @_query("""SELECT doc_id, round(0.3::DOUBLE * least(1, length(text) / 5000.0::DOUBLE) + 0.2::DOUBLE * (CASE WHEN contains(text, '/') THEN 1 ELSE 0 END) + 0.4::DOUBLE * (CASE WHEN contains(lower(text), 'backup') THEN 1 ELSE 0 END) + 0.1::DOUBLE * 0, 6) AS score FROM documents WHERE text IS NOT NULL""")

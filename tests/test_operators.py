@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -86,6 +87,34 @@ def test_candidates_and_diversity(spark):
     assert [r["k"] for r in retrieval.pick_diverse(rows, "g", "k", "t", "s").orderBy("rank").collect()] == [1, 3]
 
 
+def test_diverse_choice_equals_brute_force(spark):
+    rng = random.Random(5)
+    vocabulary, domain, query = [f"w{k}" for k in range(30)], ["w1", "w2", "w3"], "w4 W5 w1"
+    docs = []
+    for k in range(120):
+        opening = " ".join(["same"] * 60 + [f"o{j}" for j in range(60)]) if k % 3 == 0 else ""
+        docs.append((k, "ab"[k % 2], f"{opening} {' '.join(rng.sample(vocabulary, 24 if k % 5 else 12))} t{k % 7}\n", rng.randrange(8) / 8))
+    docs += [(200, "a", docs[0][2] + " tail " * 3, 1.0), (201, "a", "x " + docs[1][2], 1.0), (202, "a", " ", 1.0)]
+
+    def overlap(a, b):
+        if not a or not b:
+            return 0.0
+        weight = sum(2.0 if w in domain else 1.5 if w in query.lower().split() else 1.0 for w in a & b)
+        return weight / max(len(a | b) + 0.5 * sum(w in domain for w in (a | b) - (a & b)), 1.0)
+
+    want = {}
+    for group in "ab":
+        chosen = []
+        for k, _, text, _ in sorted((d for d in docs if d[1] == group), key=lambda d: (-d[3], d[0]))[:15]:
+            words = set(text.lower().split())
+            if len(chosen) < 5 and all(overlap(words, w) <= 0.75 for _, w in chosen):
+                chosen.append((k, words))
+        want[group] = [k for k, _ in chosen]
+    top = retrieval.best_each(spark.createDataFrame(docs, "k int, g string, t string, s double"), "g", "k", "s")
+    got = retrieval.pick_diverse(top, "g", "k", "t", "s", domain=spark.createDataFrame([(w,) for w in domain], "term string"), query=query).orderBy("g", "rank").collect()
+    assert {g: [r["k"] for r in got if r["g"] == g] for g in "ab"} == want
+
+
 def test_best_sources(spark):
     rows = spark.createDataFrame([(1, "s", "backup plan", 7), (2, "s", None, 1), (3, None, "nothing", 7)], "doc_id int, source string, text string, member_id int")
     got = retrieval.best_sources(rows, "backup plan").collect()
