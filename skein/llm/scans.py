@@ -38,15 +38,15 @@ PAGE_WORDS = "page pages pag pág p pp seite blatt página pagina folio feuillet
 KNOWN_SHARE, KNOWN_LEAST = 1e-6, 2
 #: Pages on which a header stands at least; pages of a file put in order in one task.
 HEADER_PAGES, PAGE_BLOCK = 3, 512
-#: Share of a file's pages on which a header stands at least, so that chance repeats in long files are none.
-HEADER_SHARE = 0.125
+#: A line on at least so many of its file's pages needs no other evidence to be a header; pages between which a header is near.
+HEADER_SHARE, HEADER_NEAR = 0.125, 2
 #: How much more frequent a word is than its misreadings, at least.
 RATIO = 40
 #: Costs of a reading, in natural logarithms of its chance: a misread sign, a blank put in, a blank lost, an unknown word, each of its letters and each of its Hangul syllables.
 MISREAD_COST, TORN_COST, LOST_COST, UNKNOWN_COST, LETTER_COST, SYLLABLE_COST = 3.0, 4.0, 12.0, 10.0, 2.5, 5.0
 
 NOISE_TYPE = "array<struct<line_no:int,noise:string>>"
-LINES_TYPE = "array<struct<line_no:int,skeleton:string,edge:boolean,number:boolean,head:string>>"
+LINES_TYPE = "array<struct<line_no:int,skeleton:string,place:int,rest:int,number:boolean,head:string,broken:boolean,outer:boolean>>"
 
 _CHUNK = re.compile(r"\S+")
 _TRIM = "".join(c for c in ".,;:!?()[]{}<>\"'“”„«»「」『』…·*")
@@ -138,17 +138,27 @@ def skeleton(line: str) -> str:
     return text
 
 
-def page_lines(content: str, page_no: int | None) -> list[tuple[int, str, bool, bool, str]]:
-    """``(line_no, skeleton, edge, number, head)`` of the lines that are not blank.
+def _ends_broken(line: str) -> bool:
+    end = line.rstrip()[-2:]
+    return len(end) == 2 and end[1] in BREAK_SIGNS and end[0].isalnum()
 
-    The first and the last line of the page, page numbers not counted, are ``edge``
-    lines.  ``head`` is the line itself for the first few lines.
+
+def page_lines(content: str, page_no: int | None) -> list[tuple[int, str, int, int, bool, str, bool, bool]]:
+    """``(line_no, skeleton, place, rest, number, head, broken, outer)`` of the lines that are not blank.
+
+    ``place`` lines stand before a line and ``rest`` after it, page numbers and blank
+    lines not counted (both -1 for a page number).  ``head`` is its first chunk;
+    ``broken`` tells whether it ends in a hyphen, ``outer`` whether
+    it is the first or the last line of the page with its skeleton.
     """
     lines = [(k + 1, x) for k, x in enumerate(content.split("\n")) if x.strip()]
     numbers = [(k < 3 or k >= len(lines) - 3) and page_number(x, page_no) for k, (_, x) in enumerate(lines)]
-    text = [k for k, n in enumerate(numbers) if not n]
-    edge = {*text[:1], *text[-1:]}
-    return [(no, "" if numbers[k] else skeleton(x), k in edge, numbers[k], x if k in text[:4] else "") for k, (no, x) in enumerate(lines)]
+    count, out, place = numbers.count(False), [], 0
+    for (no, x), number in zip(lines, numbers):
+        out.append((no, "", -1, -1, True, "", False, False) if number else (no, skeleton(x), place, count - 1 - place, False, x.split()[0], _ends_broken(x), False))
+        place += not number
+    outer = {x[1]: k for k, x in reversed([*enumerate(out)])}.items() | {x[1]: k for k, x in enumerate(out)}.items()
+    return [(*x[:-1], (x[1], k) in outer) for k, x in enumerate(out)]
 
 
 class Lexicon:
@@ -322,7 +332,7 @@ def decode(content: str, headers: set[int], next_head: str | None, page_no: int
     through the stream the one with the least total cost is chosen.
     """
     noise: list[tuple[int, str]] = []
-    numbers = {no for no, _, _, number, _ in page_lines(content, page_no) if number}
+    numbers = {no for no, _, _, _, number, *_ in page_lines(content, page_no) if number}
     lines = []
     for no, line in enumerate(content.split("\n"), 1):
         if no in headers:
@@ -491,29 +501,68 @@ def known_words(pages: DataFrame, text: str = "page_content") -> dict[str, int]:
 
 
 def _lines_udf(texts: pa.Array, pages: pa.Array) -> pa.Array:
-    kind = pa.list_(pa.struct([("line_no", pa.int32()), ("skeleton", pa.string()), ("edge", pa.bool_()), ("number", pa.bool_()), ("head", pa.string())]))
-    names = ("line_no", "skeleton", "edge", "number", "head")
+    kind = pa.list_(pa.struct([("line_no", pa.int32()), ("skeleton", pa.string()), ("place", pa.int32()), ("rest", pa.int32()), ("number", pa.bool_()), ("head", pa.string()), ("broken", pa.bool_()), ("outer", pa.bool_())]))
+    names = ("line_no", "skeleton", "place", "rest", "number", "head", "broken", "outer")
     return pa.array([[dict(zip(names, x)) for x in page_lines(t, p)] if t else [] for t, p in zip(texts.to_pylist(), pages.to_pylist())], kind)
 
 
 def page_frames(pages: DataFrame, key: str = "page_key", file: str = "file_id", page: str = "page_no", text: str = "page_content") -> DataFrame:
-    """``(<key>, header_lines, next_head)``: which lines of a page are headers, and the first running line of the next page."""
+    """``(<key>, header_lines, next_head)``: which lines of a page are headers, and the first word of the running text of the next page.
+
+    The outermost lines of the pages are looked at first, then those that headers
+    found so far leave outermost, until no page has another one.
+    """
     lines = spread(pages.where(F.col(text).isNotNull()).select(key, file, page, text)).select(F.col(key).alias("_key"), F.col(file).alias("_file"), F.col(page).alias("_page"), F.explode(F.arrow_udf(_lines_udf, LINES_TYPE)(text, F.col(page).cast("int"))).alias("_l"))
-    lines = durable(lines.select("_key", "_file", "_page", "_l.*"))
-    with_text = lines.where("skeleton <> ''")
-    by_page = with_text.groupBy("_file", "skeleton", "_page").agg(F.max(F.col("edge").cast("int")).alias("_edge"))
-    often = by_page.groupBy("_file", "skeleton").agg(F.sum("_edge").alias("_edges"), F.count("*").alias("_all"))
+    lines = durable(lines.select("_key", "_file", "_page", "_l.*").where("not number").drop("number"))
+    every = lines.where("skeleton <> ''").groupBy("_file", "skeleton", "_page").agg(F.count("*").alias("_n")).groupBy("_file", "skeleton").agg(F.count("*").alias("_all"), F.sum("_n").alias("_all_lines"))
     size = lines.select("_file", "_page").distinct().groupBy("_file").agg(F.count("*").alias("_size"))
-    often = often.where(f"_edges >= {HEADER_PAGES} and 2 * _edges >= _all").join(size, "_file").where(F.col("_edges") >= HEADER_SHARE * F.col("_size"))
-    marked = lines.where("edge").join(often.select("_file", "skeleton", F.lit(True).alias("header")), ["_file", "skeleton"], "left").select("_key", "_file", "_page", "line_no", "head", F.coalesce("header", F.lit(False)).alias("header"), "number")
-    headers = marked.where("header").groupBy("_key").agg(F.collect_set("line_no").alias("header_lines"))
-    # The first running line: a page's edge lines and the ones below them, headers left out.
-    first = lines.where("head <> ''").join(marked.where("header").select("_key", "line_no"), ["_key", "line_no"], "left_anti")
+    repeated = durable(every.where(f"_all >= {HEADER_PAGES}").join(size, "_file"))
+    depth = lines.groupBy("_key").agg(F.lit(0).alias("_top"), F.lit(0).alias("_bottom"))
+    found, before = None, 0
+    while True:
+        edge = lines.join(depth, "_key").where("place <= _top or rest <= _bottom")
+        new = _headers(edge, repeated, found is not None)
+        found = durable(new if found is None else found.unionByName(new).distinct())
+        edge = durable(edge.join(found.withColumn("header", F.lit(True)), ["_file", "skeleton"], "left").withColumn("header", F.coalesce("header", F.lit(False)) & F.col("outer")))
+        # Per page: how many lines from either end on are headers.
+        inner = lambda at, deep: F.coalesce(F.min(F.when(~F.col("header") & (F.col(at) <= F.col(deep)), F.col(at))), F.least(F.max(deep) + 1, F.max(F.col("place") + F.col("rest")) + 1))
+        depth = durable(edge.groupBy("_key").agg(inner("place", "_top").alias("_t"), inner("rest", "_bottom").alias("_b")).select("_key", F.col("_t").alias("_top"), F.col("_b").alias("_bottom")))
+        deep = depth.agg(F.sum(F.col("_top") + F.col("_bottom"))).first()[0] or 0
+        if deep == before:
+            break
+        before = deep
+    headers = edge.where("header").groupBy("_key").agg(F.collect_set("line_no").alias("header_lines"))
+    first = edge.where("place = _top and not header")
     heads = first.groupBy("_file", "_page").agg(F.min_by("head", F.struct("line_no", "_key")).alias("next_head")).withColumn("_page", F.col("_page") - 1)
     plain = pages.select(F.col(key).alias("_key"), F.col(file).alias("_file"), F.col(page).alias("_page"))
     return plain.join(headers, "_key", "left").join(heads, ["_file", "_page"], "left").select(F.col("_key").alias(key), "header_lines", "next_head")
 
 
+def _headers(edge: DataFrame, repeated: DataFrame, inner: bool) -> DataFrame:
+    """``(_file, skeleton)`` of the edge lines that are headers.
+
+    A header stands at the edge of three or more pages, and inside of no more than
+    as many.  Against chance repeats it has one of three marks: most of its
+    pages are near another of them; it stands always at the same edge and never
+    inside; or it is on an eighth of the file's pages.  None of them asks more of a
+    longer file than of a short one.  Of lines within a header (``inner``) single
+    lines inside count too, so that a text of like lines is not taken off, and
+    lines that end in a broken word or go on with that of the page before do not.
+    """
+    if inner:
+        ends_open = edge.where("broken and rest = _bottom").select("_file", (F.col("_page") + 1).alias("_page")).distinct().withColumn("_open", F.lit(True))
+        small = F.substring("head", 1, 1) != F.upper(F.substring("head", 1, 1))
+        edge = edge.join(ends_open, ["_file", "_page"], "left").where(~(F.col("broken") & (F.col("rest") == F.col("_bottom"))) & ~(F.coalesce("_open", F.lit(False)) & small & (F.col("place") == F.col("_top"))))
+    ends = edge.where("skeleton <> ''").withColumns({"_at_top": (F.col("place") <= F.col("_top")).cast("int"), "_at_bottom": (F.col("rest") <= F.col("_bottom")).cast("int")})
+    ends = ends.join(repeated.select("_file", "skeleton"), ["_file", "skeleton"], "left_semi").groupBy("_file", "skeleton", "_page").agg(F.max("_at_top").alias("_at_top"), F.max("_at_bottom").alias("_at_bottom"), F.count("*").alias("_lines"))
+    steps = F.array(*[F.lit(d) for d in range(-HEADER_NEAR, HEADER_NEAR + 1) if d])
+    near = ends.select("_file", "skeleton", F.explode(F.transform(steps, lambda d: (F.col("_page") + d))).alias("_page")).distinct().withColumn("_near", F.lit(1))
+    sums = [F.count("*").alias("_edges"), *[F.sum(c).alias(c) for c in ("_at_top", "_at_bottom", "_lines", "_near")]]
+    often = ends.join(near, ["_file", "skeleton", "_page"], "left").groupBy("_file", "skeleton").agg(*sums).join(repeated, ["_file", "skeleton"])
+    mostly = f"_edges >= {HEADER_PAGES} and 2 * _edges >= _all" + (" and 2 * _lines >= _all_lines" if inner else "")
+    return often.where(mostly).where(f"2 * _near >= _edges or greatest(_at_top, _at_bottom) = _edges and _lines = _all_lines or _edges >= {HEADER_SHARE} * _size").select("_file", "skeleton")
+
+
 def _with_frames(pages: DataFrame, key: str, file: str, page: str, text: str) -> DataFrame:
     frames = page_frames(pages, key, file, page, text)
     return spread(pages.where(F.col(text).isNotNull()).select(key, file, page, text)).join(frames, key)

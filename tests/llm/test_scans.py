@@ -82,3 +82,21 @@ def test_words_that_ran_together(lexicon, line, read, misread):
 def test_cheapest_way_over_a_line_end(lexicon):
     assert scans.decode("the replica-\nti on service", set(), None, 1, lexicon)[1][0][1] == "the replication"
     assert scans.decode("the replica-\ntionservice failed", set(), None, 1, lexicon)[1][0][1] == "the replication service"
+
+
+def test_headers_of_chapters_and_of_two_lines(spark):
+    # 60 pages: all have two header lines, pages 7 to 9 a chapter's below them; one line stands on three pages by chance.
+    named = lambda n: "".join("adgkopqwxy"[int(d)] * 2 for d in f"{n:04}")
+    rows = []
+    for p in range(1, 61):
+        body = [f"{named(p * 20 + k)} runs on" for k in range(8)]
+        if p in (5, 25, 45):
+            body[0 if p < 45 else -1] = "a chance line of the running text"
+        chapter = ["Restoring a vault"] if p in (7, 8, 9) else []
+        rows.append((p, 1, p, "\n".join(["Vault Guide", "Second edition", *chapter, *body, "Support team", str(p)])))
+    pages = spark.createDataFrame(rows, "page_key long, file_id long, page_no int, page_content string")
+    frames = {r["page_key"]: r for r in scans.page_frames(pages).collect()}
+    assert all(sorted(frames[p]["header_lines"]) == ([1, 2, 3, 12] if p in (7, 8, 9) else [1, 2, 11]) for p in range(1, 61))
+    assert frames[7]["next_head"] == named(160) and frames[4]["next_head"] == "a"
+    same = spark.createDataFrame([(p, 1, p, "like line\nlike line\nlike line\nlike line\nlike line") for p in range(1, 5)], pages.schema)
+    assert all(sorted(r["header_lines"]) == [1, 5] for r in scans.page_frames(same).collect())
