@@ -34,8 +34,8 @@ MISREAD = [
 BREAK_SIGNS = "-‐‑­¬"
 #: Words beside a page's number.
 PAGE_WORDS = "page pages pag pág p pp seite blatt página pagina folio feuillet 페이지 쪽 면 頁 ページ of von de sur 중 no nr nº"
-#: A word is known from this share of all words on; so at most 1 / KNOWN_SHARE words are known.
-KNOWN_SHARE, KNOWN_LEAST = 1e-6, 2
+#: A word is known from so many occurrences on, however many words there are.
+KNOWN_LEAST = 2
 #: Pages on which a header stands at least; pages of a file put in order in one task.
 HEADER_PAGES, PAGE_BLOCK = 3, 512
 #: A line on at least so many of its file's pages needs no other evidence to be a header; pages between which a header is near.
@@ -492,12 +492,10 @@ def word_counts(pages: DataFrame, text: str = "page_content") -> DataFrame:
 
 
 def known_words(pages: DataFrame, text: str = "page_content") -> dict[str, int]:
-    """Words that make up ``KNOWN_SHARE`` of all words or more, at most 1 / KNOWN_SHARE of them, with their counts."""
-    counts = durable(word_counts(pages, text))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(KNOWN_LEAST, math.ceil(KNOWN_SHARE * total))
+    """All words that occur ``KNOWN_LEAST`` times or more, with their counts; numbers are none."""
     letters = F.col("word").rlike(r"[\p{L}]") & ~F.col("word").rlike(r"\d{3}")
-    return {r["word"]: r["n"] for r in counts.where((F.col("n") >= least) & letters).toLocalIterator()}
+    counts = durable(word_counts(pages, text).where((F.col("n") >= KNOWN_LEAST) & letters))
+    return {r["word"]: r["n"] for r in counts.toLocalIterator()}
 
 
 def _lines_udf(texts: pa.Array, pages: pa.Array) -> pa.Array:

@@ -100,3 +100,11 @@ def test_headers_of_chapters_and_of_two_lines(spark):
     assert frames[7]["next_head"] == named(160) and frames[4]["next_head"] == "a"
     same = spark.createDataFrame([(p, 1, p, "like line\nlike line\nlike line\nlike line\nlike line") for p in range(1, 5)], pages.schema)
     assert all(sorted(r["header_lines"]) == [1, 5] for r in scans.page_frames(same).collect())
+
+
+def test_rare_words_are_known_at_any_size(spark):
+    # 12 million words: "fail" with 8 occurrences keeps its count, so that it is no misreading of "tail" with 20.
+    common = spark.range(300).selectExpr("repeat('backup ', 40000) AS page_content")
+    rare = spark.createDataFrame([("fail " * 8,), ("tail " * 20,), ("once",)], "page_content string")
+    known = scans.known_words(common.unionByName(rare))
+    assert known == {"backup": 12_000_000, "fail": 8, "tail": 20} and scans.Lexicon(known).meant("fail") is None
