@@ -470,13 +470,11 @@ def paragraphs(lines: list[tuple[int, str, bool]]) -> list[list[tuple[int, str,
 
     best, back = [0.0, *[math.inf] * len(kept)], [0] * (len(kept) + 1)
     gains = [0.0, *(at(k) for k in range(1, len(kept)))]
+    least, start = math.inf, 0  # the cheapest cut so far: what follows it costs the same wherever it ends
     for end in range(1, len(kept) + 1):
-        for begin in range(max(0, end - 80), end):
-            cost = best[begin] + (gains[begin] if begin else 0.0) + 0.5
-            if cost < best[end]:
-                best[end], back[end] = cost, begin
-            if begin and gains[begin] > 50:
-                continue
+        if best[end - 1] + gains[end - 1] < least:
+            least, start = best[end - 1] + gains[end - 1], end - 1
+        best[end], back[end] = least + 0.5, start
     cuts, end = [], len(kept)
     while end:
         cuts.append((back[end], end))

@@ -108,3 +108,8 @@ def test_rare_words_are_known_at_any_size(spark):
     rare = spark.createDataFrame([("fail " * 8,), ("tail " * 20,), ("once",)], "page_content string")
     known = scans.known_words(common.unionByName(rare))
     assert known == {"backup": 12_000_000, "fail": 8, "tail": 20} and scans.Lexicon(known).meant("fail") is None
+
+
+def test_a_long_paragraph_is_not_cut():
+    lines = [(k, f"the backup job {'x' * 40} reported", True) for k in range(300)]
+    assert [len(p) for p in scans.paragraphs(lines)] == [300]
