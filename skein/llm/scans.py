@@ -517,9 +517,9 @@ def page_frames(pages: DataFrame, key: str = "page_key", file: str = "file_id",
     found, before = None, 0
     while True:
         edge = lines.join(depth, "_key").where("place <= _top or rest <= _bottom")
-        new = _headers(edge, repeated, found is not None)
-        found = durable(new if found is None else found.unionByName(new).distinct())
-        edge = durable(edge.join(found.withColumn("header", F.lit(True)), ["_file", "skeleton"], "left").withColumn("header", F.coalesce("header", F.lit(False)) & F.col("outer")))
+        new = _headers(edge, repeated, found is not None).withColumn("_inner", F.lit(found is not None))
+        found = durable(new if found is None else found.unionByName(new).groupBy("_file", "skeleton").agg(F.max("_inner").alias("_inner")))
+        edge = durable(edge.join(found.withColumn("header", F.lit(True)), ["_file", "skeleton"], "left").withColumn("header", F.coalesce("header", F.lit(False)) & F.col("outer") & (F.col("_inner") | F.expr("place = 0 or rest = 0"))))
         # Per page: how many lines from either end on are headers.
         inner = lambda at, deep: F.coalesce(F.min(F.when(~F.col("header") & (F.col(at) <= F.col(deep)), F.col(at))), F.least(F.max(deep) + 1, F.max(F.col("place") + F.col("rest")) + 1))
         depth = durable(edge.groupBy("_key").agg(inner("place", "_top").alias("_t"), inner("rest", "_bottom").alias("_b")).select("_key", F.col("_t").alias("_top"), F.col("_b").alias("_bottom")))
@@ -541,7 +541,8 @@ def _headers(edge: DataFrame, repeated: DataFrame, inner: bool) -> DataFrame:
     as many.  Against chance repeats it has one of three marks: most of its
     pages are near another of them; it stands always at the same edge and never
     inside; or it is on an eighth of the file's pages.  None of them asks more of a
-    longer file than of a short one.  Of lines within a header (``inner``) single
+    longer file than of a short one.  The third is not enough for lines within
+    a header, where titles and lines of the text begin.  Of lines within a header (``inner``) single
     lines inside count too, so that a text of like lines is not taken off, and
     lines that end in a broken word or go on with that of the page before do not.
     """
@@ -556,7 +557,8 @@ def _headers(edge: DataFrame, repeated: DataFrame, inner: bool) -> DataFrame:
     sums = [F.count("*").alias("_edges"), *[F.sum(c).alias(c) for c in ("_at_top", "_at_bottom", "_lines", "_near")]]
     often = ends.join(near, ["_file", "skeleton", "_page"], "left").groupBy("_file", "skeleton").agg(*sums).join(repeated, ["_file", "skeleton"])
     mostly = f"_edges >= {HEADER_PAGES} and 2 * _edges >= _all" + (" and 2 * _lines >= _all_lines" if inner else "")
-    return often.where(mostly).where(f"2 * _near >= _edges or greatest(_at_top, _at_bottom) = _edges and _lines = _all_lines or _edges >= {HEADER_SHARE} * _size").select("_file", "skeleton")
+    share = "" if inner else f" or _edges >= {HEADER_SHARE} * _size"
+    return often.where(mostly).where(f"2 * _near >= _edges or greatest(_at_top, _at_bottom) = _edges and _lines = _all_lines{share}").select("_file", "skeleton")
 
 
 def _with_frames(pages: DataFrame, key: str, file: str, page: str, text: str) -> DataFrame:
