@@ -43,7 +43,7 @@ SEGMENTS_TYPE = "array<struct<seg_start:int,seg_end:int,lang_code:string,confide
 #: Things that belong to no language: whatever holds a digit, a path or code sign, and words with signs inside.
 _FOREIGN = re.compile(r"\S*[\d/\\_=<>$#@|{}\[\]`~^]\S*|(?<!\S)-{1,2}\w\S*|\b[A-Z]{2,}(?:-[A-Z]+)*\b|\b[A-Z][a-z]+[A-Z]\w*\b")
 _WIDE_FOREIGN = re.compile(r"[A-Za-z0-9/\\_=<>$#@|{}\[\]`~^:.,+-]*[\d/\\_=<>$#@|{}\[\]`~^][A-Za-z0-9/\\_=<>$#@|{}\[\]`~^:.,+-]*|[A-Za-z]+")
-_SENTENCE = re.compile(r"[^\n。！？]*?(?:[.!?]+[\"”’»」』)]*(?=\s|$)|[。！？]+[\"”’»」』)]*|(?=\n)|$)")
+_STOP = re.compile(r"[.!?]+[\"”’»」』)]*(?=\s|$)|[。！？]+[\"”’»」』)]*|\n")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힣ｦ-ﾟ]")
 _HANGUL = re.compile(r"[ᄀ-ᇿ㄰-㆏가-힣]")
 _KANA = re.compile(r"[぀-ヿｦ-ﾟ]")
@@ -88,15 +88,14 @@ def _latin(body: str) -> tuple[str, str]:
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """Where each sentence or line begins and ends, blanks around it left out."""
-    out = []
-    for m in _SENTENCE.finditer(text):
-        a, b = m.span()
-        while a < b and text[a].isspace():
-            a += 1
-        while b > a and text[b - 1].isspace():
-            b -= 1
-        if a < b:
-            out.append((a, b))
+    out, at = [], 0
+    for a, b, end in [*((m.start(), m.end(), m[0]) for m in _STOP.finditer(text)), (len(text), len(text), "\n")]:
+        piece = text[at : a if end == "\n" else b]
+        body = piece.strip()
+        if body:
+            start = at + len(piece) - len(piece.lstrip())
+            out.append((start, start + len(body)))
+        at = b
     return out
 
 

@@ -33,9 +33,9 @@ def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pairs.paired(_read(spark, sf_dir, "chat_messages"))
-    judge = pairs.train(found, _read(spark, sf_dir, "documents"))
-    return pairs.flag_defects(found, judge).where("defect is not null").select("conv_id", "turn", "defect")
+    messages = _read(spark, sf_dir, "chat_messages")
+    judge = pairs.train(messages, _read(spark, sf_dir, "documents"))
+    return pairs.flag_defects(pairs.paired(messages), judge).where("defect is not null").select("conv_id", "turn", "defect")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

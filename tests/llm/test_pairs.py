@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from skein.llm import pairs
+from skein.llm import pairs, refusals
 from tests.llm.test_languages import TEXTS
 
 SUBJECT = {"en": ["The backup", "The server", "The disk", "The agent"], "de": ["Die Sicherung", "Der Server", "Die Platte", "Der Agent"], "fr": ["La sauvegarde", "Le serveur", "Le disque", "L'agent"]}
@@ -53,7 +53,7 @@ def test_pairing(spark, monkeypatch):
 
 def test_held_out_pairs_made_the_same_way(judge):
     rng = np.random.default_rng(77)
-    f = pairs.Features(pairs.Compressors(*judge.speech, level=pairs.WHOLE_LEVEL), judge.refusal)
+    f = pairs._features(judge)
     right = total = 0
     for k in range(60):
         lang = ("en", "de", "fr")[k % 3]
@@ -63,3 +63,38 @@ def test_held_out_pairs_made_the_same_way(judge):
             right += judge.defect(f, question, answer) == (pairs.DEFECTS[kind] if kind >= 0 else None)
             total += 1
     assert right / total > 0.93
+
+
+def test_refusals_of_families_that_were_held_out(judge, monkeypatch):
+    """The refusal model recognises refusals made by rules that it was not fitted with."""
+    monkeypatch.setattr(pairs, "MADE_REFUSALS", 200)
+    rng = np.random.default_rng(3)
+    real = [sound(rng, lang) for lang in ("en", "de", "fr") for _ in range(60)]
+    caught = {}
+    for family in refusals.FAMILIES:
+        rest = tuple(x for x in refusals.FAMILIES if x != family)
+        f = pairs.Features(judge.speech)
+        f.refusal = pairs.fit_refusals(real, f.chunks, np.random.default_rng(4), rest)
+        for lang in ("en", "de", "fr"):
+            said = [refusals.draw(rng, lang, "VM-SNAP", (family,)) for _ in range(80)]
+            caught[family, lang] = np.mean([r >= 0.5 for r in f.refused(said)])
+    assert np.mean(list(caught.values())) > 0.6, caught
+    f = pairs._features(judge)
+    near = [refusals.draw_near(rng, lang, "VM-SNAP") for lang in ("en", "de", "fr") for _ in range(80)]
+    assert np.mean([r >= 0.5 for r in f.refused(near)]) < 0.05
+
+
+def test_a_batch_gives_what_single_pairs_give(judge):
+    rng = np.random.default_rng(12)
+    rows = [sound(rng, lang) for lang in ("en", "de", "fr") for _ in range(10)] + [("", None), ("x", ""), ("q" * 50_000, "a " * 100_000), ("서버가 왜 멈췄나요?", "서버를 다시 시작하세요."), ("x", "죄송하지만 이 질문에는 답할 수 없습니다.")]
+    f = pairs._features(judge)
+    assert judge.defects(f, [q for q, _ in rows], [a for _, a in rows]) == [judge.defect(pairs.Features(judge.speech, judge.refusal), q, a) for q, a in rows]
+
+
+def test_sample_is_bounded_and_pairs_only_chosen_conversations(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "SAMPLE_PAIRS", 7)
+    df = spark.range(200).selectExpr("id as message_id", "id div 4 as conv_id", "cast(id % 4 as int) as turn", "if(id % 2 = 0, 'human', 'ai') as type", "concat('text ', id) as content")
+    found = pairs.sample_pairs(df)
+    assert len(found) == 7 and found == pairs.sample_pairs(df.repartition(5))
+    assert all(int(a.split()[1]) == int(q.split()[1]) + 1 for q, a in found)
+    assert pairs.sample_pairs(df.limit(0)) == []
