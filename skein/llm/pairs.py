@@ -33,6 +33,8 @@ TURN_BLOCK = 512
 SENT_BITS, PAIR_BITS = 17, 12
 #: Made-up refusals of each language that the refusal model is fitted to.
 MADE_REFUSALS = 900
+#: Sentences of each language's texts that count as no refusals.
+PROSE_SENTENCES = 200
 #: Chunks, questions and sentences that a worker remembers at most, and pairs scored at a time.
 REMEMBERED, BATCH_PAIRS = 100_000, 2048
 #: Characters of an answer's end whose n-grams the pair model sees.
@@ -54,13 +56,13 @@ LANGUAGE_NAMES = {
 }
 #: Words before a question that is only said again.
 ECHO = {
-    "en": ["You wrote: ", "You said: ", "You want to know: ", "Again: ", "Request: "],
-    "de": ["Sie schrieben: ", "Sie sagten: ", "Sie wollen wissen: ", "Noch einmal: ", "Anfrage: "],
-    "fr": ["Vous écrivez : ", "Vous dites : ", "Vous voulez savoir : ", "Encore : ", "Demande : "],
-    "es": ["Usted escribió: ", "Usted dijo: ", "Quiere saber: ", "Otra vez: ", "Consulta: "],
-    "pt": ["Você escreveu: ", "Você disse: ", "Quer saber: ", "De novo: ", "Pedido: "],
-    "ko": ["작성하신 글: ", "말씀하신 것: ", "알고 싶으신 것: ", "다시 적으면 ", "요청: "],
-    "ja": ["お書きの内容: ", "おっしゃったこと: ", "知りたいこと: ", "もう一度: ", "ご依頼: "],
+    "en": ["You wrote: ", "You said: ", "You want to know: ", "Again: ", "Your message reads: ", "The request is as follows. "],
+    "de": ["Sie schrieben: ", "Sie sagten: ", "Sie wollen wissen: ", "Noch einmal: ", "Ihre Nachricht lautet: ", "Es geht um Folgendes. "],
+    "fr": ["Vous écrivez : ", "Vous dites : ", "Vous voulez savoir : ", "Encore : ", "Votre message dit ceci : ", "La demande est la suivante. "],
+    "es": ["Usted escribió: ", "Usted dijo: ", "Quiere saber: ", "Otra vez: ", "Su mensaje dice así: ", "La consulta es la siguiente. "],
+    "pt": ["Você escreveu: ", "Você disse: ", "Quer saber: ", "De novo: ", "Sua mensagem diz assim: ", "O pedido é o seguinte. "],
+    "ko": ["작성하신 글: ", "말씀하신 것: ", "알고 싶으신 것: ", "다시 적으면 ", "보내신 글은 아래와 같습니다. ", "요청은 이렇습니다. "],
+    "ja": ["お書きの内容: ", "おっしゃったこと: ", "知りたいこと: ", "もう一度: ", "いただいた文面は以下の通りです。", "ご依頼はこうです。"],
 }
 
 _UNSEEN = re.compile("[" + "".join(f"\\U{p:08x}" for p in UNSEEN) + "\\x00-\\x08\\x0e-\\x1f]")
@@ -141,6 +143,7 @@ class Chunks:
         self.scripts, self.langs = scripts, scripts.get("latin", [])
         counts = [Counter(_PART.findall(dictionaries[c].decode("utf-8", "ignore"))) for c in self.langs]
         self.words = self._odds(counts)
+        self.prose = [x for c in sorted(dictionaries) for x in dictionaries[c].decode("utf-8", "ignore").split("\n")[:PROSE_SENTENCES] if x.strip()]
         grams = [Counter() for _ in counts]
         for by, words in zip(grams, counts):
             for w, n in words.items():
@@ -292,18 +295,19 @@ def _bigrams(text: str) -> list[str]:
 class Features:
     """Features of pairs, given the texts of languages and the model of refusals."""
 
-    def __init__(self, speech: tuple[dict[str, bytes], dict[str, list[str]]], refusal: Linear | None = None) -> None:
-        self.chunks, self.refusal = Chunks(speech), refusal
-        self.scores: dict[str, float] = {}
+    def __init__(self, speech: tuple[dict[str, bytes], dict[str, list[str]]], refusal: Linear | None = None, excuse: Linear | None = None) -> None:
+        self.chunks, self.refusal, self.excuse = Chunks(speech), refusal, excuse
+        self.scores: dict[str, tuple[float, float]] = {}
         self.questions: dict[str, Asked] = {}
 
-    def refused(self, sentences: list[str]) -> list[float]:
-        """The refusal score of each sentence; equal sentences are scored once."""
+    def refused(self, sentences: list[str]) -> list[tuple[float, float]]:
+        """How much each sentence sounds like a refusal, and like an excuse before an answer; equal sentences are scored once."""
         if len(self.scores) > REMEMBERED:
             self.scores.clear()
         new = [s for s in dict.fromkeys(sentences) if s not in self.scores]
         if new:
-            self.scores.update(zip(new, self.refusal.score(self.chunks.rows(new, SENT_BITS)).tolist()))
+            rows = self.chunks.rows(new, SENT_BITS)
+            self.scores.update(zip(new, zip(self.refusal.score(rows).tolist(), self.excuse.score(rows).tolist())))
         return [self.scores[s] for s in sentences]
 
     def _words(self, text: str) -> tuple[list[str], list[int]]:
@@ -337,7 +341,7 @@ class Features:
         out, at = np.zeros((len(bodies), len(DENSE))), 0
         for k, (question, answer, body, (words, _), mine, own) in enumerate(zip(questions, answers, bodies, found, spoken, parts)):
             asked = self.questions[question]
-            out[k] = self._row(asked, question, answer, body, words, mine, [(r, len(s)) for r, s in zip(flat[at : at + len(own)], own)])
+            out[k] = self._row(asked, question, answer, body, words, mine, [(r, 0 if e >= 0.5 else len(s)) for (r, e), s in zip(flat[at : at + len(own)], own)])
             at += len(own)
         return out
 
@@ -365,7 +369,8 @@ class Features:
         end, word_end = over and not ellipsis, last[-1:].isalnum()
         if fences and fences % 2 == 0 and body.endswith("```"):
             end, word_end = True, False
-        whole = bool(said) and common / max(1, len(words)) > 0.75 and common >= min(4, len(said)) and len(words) <= 1.25 * len(said) + (14 if wide else 4)
+        hit = sum(w in known for w in own)
+        whole = bool(said) and hit > 0.75 * len(own) and hit >= min(4, len(known)) and len(own) <= 1.25 * len(known) + (14 if wide else 4)
         return (
             is_empty(answer), min(1.0, len(words) / 60), end, ellipsis, bool(_ITEM.fullmatch(last)) if last else False, last[-1:] != "" and last[-1:] in ",;:、，", word_end, fences % 2 == 1, command, any_wide,
             common / max(1, len(words)), common / max(1, len(said)), min(1.0, left / 12), left > 6, min(3.0, len(words) / max(1, len(said))) / 3, whole,
@@ -383,6 +388,7 @@ class Judge:
 
     speech: tuple[dict[str, bytes], dict[str, list[str]]]
     refusal: Linear
+    excuse: Linear
     weights: np.ndarray
     bias: np.ndarray
     limits: np.ndarray
@@ -464,7 +470,7 @@ def _spoil(rng: np.random.Generator, question: str, answer: str, other: list[tup
     out.append((question, pick(commands), -1))
     out += [(question, p, -1) for p in _sentences(lead)[:3] if p.rstrip(CLOSERS)[-1:] in ENDS]
     echo = pick(ECHO.get(lang, ECHO["en"]))
-    said = pick([question, question.upper(), question.lower(), f'"{question}"', f"{question}\n", re.sub(r"[^\w\s/-]", "", question), question.replace(" ", "  "), echo + question, echo + question, f"> {question}", f"«{question}»"])
+    said = pick([question, question.upper(), question.lower(), f'"{question}"', f"{question}\n", re.sub(r"[^\w\s/-]", "", question), question.replace(" ", "  "), echo + question, echo + question, f"> {question}", f"«{question}»", f"{question}\n{question}"])
     out.append((question, said, DEFECTS.index("copy")))
     out.append((question, f"{echo}{question}\n{answer}", -1))
     out.append((question, f"{question} {answer}", -1))
@@ -477,11 +483,11 @@ def _spoil(rng: np.random.Generator, question: str, answer: str, other: list[tup
         name = refusals.name_of(code, lang)
         out.append((f"{question} {asked.format(name)}", pick(mate), -1))
     no = lambda: refusals.draw(rng, lang, refusals.topic_of(rng, question), families)
-    near = lambda: refusals.draw_near(rng, lang, refusals.topic_of(rng, question))
+    near = lambda excuse=False: refusals.draw_near(rng, lang, refusals.topic_of(rng, question), excuse)
     out.append((question, " ".join(no() for _ in range(int(rng.integers(1, 3)))), DEFECTS.index("refusal")))
     out.append((question, near() + " " + answer, -1))
     if rng.random() < 0.5:
-        out.append((question, near() + " " + no(), DEFECTS.index("refusal")))
+        out.append((question, near(True) + " " + no(), DEFECTS.index("refusal")))
         out.append((question, pick(refusals.EMPTIES), DEFECTS.index("empty")))
     return out
 
@@ -500,36 +506,41 @@ def train(messages: DataFrame, labelled_texts: DataFrame, seed: int = 5) -> Judg
     return fit(sample_pairs(messages), languages.train(labelled_texts), seed)
 
 
-def fit_refusals(real: list[tuple[str, str]], chunks: Chunks, rng: np.random.Generator, families: tuple[str, ...] = refusals.FAMILIES, langs: tuple[str, ...] = refusals.LANGS) -> Linear:
-    """The model of sentences that refuse: made-up refusals against what real answers say.
+def fit_refusals(real: list[tuple[str, str]], chunks: Chunks, rng: np.random.Generator, families: tuple[str, ...] = refusals.FAMILIES, langs: tuple[str, ...] = refusals.LANGS) -> tuple[Linear, Linear]:
+    """The models of sentences that refuse, and of those that excuse: made-up ones against what real answers and the texts of the languages say.
 
-    Sentences of answers that look refused are left out the second time, unless
-    they stand beside two or more plain ones: those belong to an answer.
+    Sentences of answers that look like made-up ones are left out the second time;
+    but sentences that look refused and stand beside two or more plain ones belong
+    to an answer.
     """
     parts = [_sentences(plain(a)) for _, a in real]
     said = sorted({_masked(s): s for p in parts for s in p}.values())
     topics = [q for q, _ in real] or ["#"]
     topic = lambda: refusals.topic_of(rng, topics[int(rng.integers(len(topics)))])
     made = sorted({refusals.draw(rng, lang, topic(), families) for lang in langs for _ in range(MADE_REFUSALS)})
-    near = sorted({refusals.draw_near(rng, lang, topic()) for lang in langs for _ in range(MADE_REFUSALS // 4)})
-    texts = [*made, *near, *said]
-    rows = chunks.rows(texts, SENT_BITS)
-    y = np.r_[np.ones(len(made)), np.zeros(len(near) + len(said))]
-    first = Linear(SENT_BITS).fit(rows, y, np.ones(len(texts)))
-    score = dict(zip(map(_masked, said), first.score(rows)[len(made) + len(near) :]))
+    excuses = sorted({refusals.draw_near(rng, lang, topic(), True) for lang in langs for _ in range(MADE_REFUSALS // 4)})
+    near = sorted({refusals.draw_near(rng, lang, topic()) for lang in langs for _ in range(MADE_REFUSALS // 4)} - set(excuses))
+    texts = [*made, *excuses, *near, *chunks.prose, *said]
+    rows, others, tail = chunks.rows(texts, SENT_BITS), np.ones(len(texts) - len(said)), len(texts) - len(said)
+    is_refusal = np.r_[np.ones(len(made)), np.zeros(len(texts) - len(made))]
+    is_excuse = np.r_[np.zeros(len(made)), np.ones(len(excuses)), np.zeros(len(texts) - len(made) - len(excuses))]
+    first = Linear(SENT_BITS).fit(rows, is_refusal, np.ones(len(texts))).score(rows)[tail:]
+    score = dict(zip(map(_masked, said), first))
     beside = set()
     for p in parts:
         keys = [_masked(s) for s in p]
         if sum(score[k] < 0.5 for k in keys) >= 2:
             beside.update(k for k in keys if score[k] >= 0.5)
-    weight = np.array([10.0 if _masked(s) in beside else float(score[_masked(s)] < 0.5) for s in said])
-    return Linear(SENT_BITS).fit(rows, y, np.r_[np.ones(len(made) + len(near)), weight])
+    weight = np.r_[others, [10.0 if _masked(s) in beside else float(score[_masked(s)] < 0.5) for s in said]]
+    refusal = Linear(SENT_BITS).fit(rows, is_refusal, weight)
+    first = Linear(SENT_BITS).fit(rows, is_excuse, np.ones(len(texts)), steps=60).score(rows)[tail:]
+    return refusal, Linear(SENT_BITS).fit(rows, is_excuse, np.r_[others, (first < 0.5).astype(float)], steps=60)
 
 
 def fit(real: list[tuple[str, str]], speech, seed: int = 5, families: tuple[str, ...] = refusals.FAMILIES) -> Judge:
     rng = np.random.default_rng(seed)
     f = Features(speech)
-    f.refusal = fit_refusals(real, f.chunks, rng, families)
+    f.refusal, f.excuse = fit_refusals(real, f.chunks, rng, families)
     x = f.dense([q for q, _ in real], [a for _, a in real])
     sound = [pair for pair, row in zip(real, x) if _sound(row, *pair)]
     f._ask([q for q, _ in sound])
@@ -552,7 +563,7 @@ def fit(real: list[tuple[str, str]], speech, seed: int = 5, families: tuple[str,
     weights, bias = _multi(x, grams, label, ~held)
     p = 1 / (1 + np.exp(-_logits(x, grams, weights, bias).clip(-30, 30)))
     limits = np.array([_limit(p[held, k], label[held] == k) for k in range(len(DEFECTS))])
-    return Judge(speech, f.refusal, weights, bias, limits)
+    return Judge(speech, f.refusal, f.excuse, weights, bias, limits)
 
 
 def _hashed(grams: Rows, weights: np.ndarray) -> np.ndarray:
@@ -611,5 +622,5 @@ _kept: list[tuple[Judge, Features]] = []
 def _features(judge: Judge) -> Features:
     """The features of a judge, made once in each worker; the judge itself is kept, so another one is never taken for it."""
     if not _kept or _kept[0][0] is not judge:
-        _kept[:] = [(judge, Features(judge.speech, judge.refusal))]
+        _kept[:] = [(judge, Features(judge.speech, judge.refusal, judge.excuse))]
     return _kept[0][1]

@@ -92,9 +92,10 @@ GRAMMAR = {
         "unable": [
             "~[이|그|해당|말씀하신] [질문|요청|문의|사안|주제|부분][에는|에 대해서는|에 관해서는] [답할 수 없습니다|답을 드릴 수 없습니다|답변할 수 없습니다|답해 드리기 어렵습니다|설명할 수 없습니다|설명드리기 어렵습니다|도움을 드릴 수 없습니다|도와드리기 어렵습니다|정보를 드릴 수 없습니다|안내할 수 없습니다|조언할 수 없습니다].",
             "~{}[에 대해서는|에 관해서는|에 대한 질문에는|에 대한 정보는|은|는] [답할 수 없습니다|답을 드릴 수 없습니다|말할 수 없습니다|말씀드리기 어렵습니다|알려 줄 수 없습니다|알려 드리기 어렵습니다|도와줄 수 없습니다|안내하기 어렵습니다|설명해 드릴 수 없습니다].",
+            "~{}[에 대한|에 관한|관련] [답변이|설명이|안내가|조언이] [어렵습니다|곤란합니다|불가합니다|불가능한 점 이해 부탁드립니다|어려운 점 너그럽게 이해해 주세요].",
         ],
         "forbidden": ["~[{}에 대해|이 내용을|그 정보를|그런 내용을|이 주제를] [말하는|공개하는|설명하는|논의하는|다루는|공유하는] 것은 [허용되지 않습니다|금지되어 있습니다|허락되지 않았습니다|규정상 안 됩니다|불가능합니다].", "~저는 [이|그|해당] [질문|요청]에 [답할|응할|대응할] [권한|자격]이 없습니다.", "~{}에 대해 [답할|설명할|말할|조언할] [권한|자격]이 없습니다."],
-        "decline": ["~[이|그|해당] [요청|질문|부탁]은 [거절합니다|거절하겠습니다|사양하겠습니다|받아들일 수 없습니다|들어줄 수 없습니다|들어드리지 못합니다].", "~{}[에 대한|에 관한|관련] [답변|언급|설명|안내|조언|의견]은 [하지 않겠습니다|하지 않습니다|드리지 않겠습니다|거절합니다|피하겠습니다|생략하겠습니다|사양합니다]."],
+        "decline": ["~[이|그|해당] [요청|질문|부탁]은 [거절합니다|거절하겠습니다|사양하겠습니다|받아들일 수 없습니다|들어줄 수 없습니다|들어드리지 못합니다].", "~{}[에 대한|에 관한|관련] [답변|언급|설명|안내|조언|의견]은 [하지 않겠습니다|하지 않습니다|드리지 않겠습니다|거절합니다|피하겠습니다|생략하겠습니다|사양합니다|자제합니다|자제하겠습니다]."],
         "scope": ["~[이|그|해당|{} 관련] [질문은|주제는|문제는|요청은|내용은] [제|저의] [업무|역할|권한|담당|지원] [범위를 벗어납니다|범위 밖입니다|밖의 일입니다|범위에 없습니다|범위가 아닙니다].", "~{}[은|는] 제가 [다루는|맡은|답할 수 있는|도울 수 있는] [주제|일|내용|영역]이 아닙니다."],
         "refer": ["[{}에 대해서는 |그 문제는 |자세한 내용은 |그 부분은 |][담당자|관리자|지원팀|전문가|다른 부서|고객 센터|책임자]에게 [문의하세요|문의하십시오|물어보세요|물어보십시오|연락하세요|확인하세요|상의하세요]."],
         "lack": ["~[{}|이 주제|그 문제|해당 질문]에 대한 [정보|지식|자료|답]이 [없습니다|저에게 없습니다|전혀 없습니다].", "~[{}|이 주제|그 문제]에 대해 [아는 것이 없습니다|드릴 말씀이 없습니다|할 말이 없습니다|제공할 정보가 없습니다]."],
@@ -170,7 +171,12 @@ def draw(rng: np.random.Generator, lang: str, topic: str, families: tuple[str, .
     return _fill(rng, patterns[int(rng.integers(len(patterns)))], topic, lang)
 
 
-def draw_near(rng: np.random.Generator, lang: str, topic: str) -> str:
-    """A sentence with words of a refusal that refuses nothing."""
+#: Which of the sentences of ``NEAR`` are excuses: an apology, and what cannot be seen from afar.
+EXCUSES = (0, 3)
+
+
+def draw_near(rng: np.random.Generator, lang: str, topic: str, excuse: bool = False) -> str:
+    """A sentence with words of a refusal that refuses nothing; only an excuse, if asked for."""
     lang = lang if lang in NEAR else "en"
-    return _fill(rng, NEAR[lang][int(rng.integers(len(NEAR[lang])))], topic, lang)
+    at = EXCUSES[int(rng.integers(len(EXCUSES)))] if excuse else int(rng.integers(len(NEAR[lang])))
+    return _fill(rng, NEAR[lang][at], topic, lang)

@@ -74,21 +74,21 @@ def test_refusals_of_families_that_were_held_out(judge, monkeypatch):
     for family in refusals.FAMILIES:
         rest = tuple(x for x in refusals.FAMILIES if x != family)
         f = pairs.Features(judge.speech)
-        f.refusal = pairs.fit_refusals(real, f.chunks, np.random.default_rng(4), rest)
+        f.refusal, f.excuse = pairs.fit_refusals(real, f.chunks, np.random.default_rng(4), rest)
         for lang in ("en", "de", "fr"):
             said = [refusals.draw(rng, lang, "VM-SNAP", (family,)) for _ in range(80)]
-            caught[family, lang] = np.mean([r >= 0.5 for r in f.refused(said)])
+            caught[family, lang] = np.mean([r >= 0.5 for r, _ in f.refused(said)])
     assert np.mean(list(caught.values())) > 0.6, caught
     f = pairs._features(judge)
     near = [refusals.draw_near(rng, lang, "VM-SNAP") for lang in ("en", "de", "fr") for _ in range(80)]
-    assert np.mean([r >= 0.5 for r in f.refused(near)]) < 0.05
+    assert np.mean([r >= 0.5 for r, _ in f.refused(near)]) < 0.05
 
 
 def test_a_batch_gives_what_single_pairs_give(judge):
     rng = np.random.default_rng(12)
     rows = [sound(rng, lang) for lang in ("en", "de", "fr") for _ in range(10)] + [("", None), ("x", ""), ("q" * 50_000, "a " * 100_000), ("서버가 왜 멈췄나요?", "서버를 다시 시작하세요."), ("x", "죄송하지만 이 질문에는 답할 수 없습니다.")]
     f = pairs._features(judge)
-    assert judge.defects(f, [q for q, _ in rows], [a for _, a in rows]) == [judge.defect(pairs.Features(judge.speech, judge.refusal), q, a) for q, a in rows]
+    assert judge.defects(f, [q for q, _ in rows], [a for _, a in rows]) == [judge.defect(pairs.Features(judge.speech, judge.refusal, judge.excuse), q, a) for q, a in rows]
 
 
 def test_sample_is_bounded_and_pairs_only_chosen_conversations(spark, monkeypatch):
