@@ -2,7 +2,9 @@
 
 Each language has a raw-content zstandard dictionary of its prose.  A sentence
 belongs to the language whose dictionary makes it smallest; where the next one
-makes it about as small, the sentence is left to its neighbours.
+makes it about as small, the sentence is left to its neighbours.  The compressor
+without a dictionary competes too: what no dictionary makes smaller is in no
+language that is known, whatever its script.
 """
 
 from __future__ import annotations
@@ -31,12 +33,14 @@ NAMES = {
     "pt": ["pt", "por", "portuguese", "português", "portugues"],
 }
 #: Labelled documents per language that dictionaries are made of, and characters taken of each: the bound of the fit.
-SAMPLE_DOCS, SAMPLE_CHARS = 192, 4000
+SAMPLE_DOCS, SAMPLE_CHARS = 512, 4000
 #: Bytes of a dictionary.
-DICT_BYTES = 65536
+DICT_BYTES = 1 << 18
 LEVEL = 12
 #: How often a language must have a sentence, against the one that has it most, to keep it.
 SHARED = 0.3
+#: Sentences that a worker remembers.
+REMEMBERED = 100_000
 UNKNOWN = "und"
 SEGMENTS_TYPE = "array<struct<seg_start:int,seg_end:int,lang_code:string,confidence:double,sentences:int>>"
 
@@ -100,7 +104,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 class Compressors:
-    """A compressor per language, with the memory of a bounded number of sentences."""
+    """A compressor per language and one without a dictionary, with the memory of a bounded number of sentences."""
 
     def __init__(self, dictionaries: dict[str, bytes], scripts: dict[str, list[str]], level: int = LEVEL) -> None:
         self.scripts = scripts
@@ -109,14 +113,16 @@ class Compressors:
             data = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             data.precompute_compress(level=level)
             self.by[lang] = zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
-        self.sizes = lru_cache(maxsize=100_000)(self._sizes)
+        self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.sizes = lru_cache(maxsize=REMEMBERED)(self._sizes)
 
-    def _sizes(self, words: str, script: str) -> dict[str, int]:
+    def _sizes(self, words: str, script: str) -> tuple[int, dict[str, int]]:
+        """Compressed size without a dictionary, and with those of the script's languages."""
         raw = words.lower().encode("utf-8", "replace")
-        return {lang: len(self.by[lang].compress(raw)) for lang in self.scripts.get(script, [])}
+        return len(self.plain.compress(raw)), {lang: len(self.by[lang].compress(raw)) for lang in self.scripts.get(script, [])}
 
 
-def best(sizes: dict[str, int], letters: int) -> tuple[str, float]:
+def best(sizes: dict[str, int]) -> tuple[str, float]:
     """The language that makes a text smallest and, from 0 to 1, how much smaller than the next."""
     if not sizes:
         return UNKNOWN, 0.0
@@ -129,35 +135,54 @@ def best(sizes: dict[str, int], letters: int) -> tuple[str, float]:
 
 #: Confidence below which a sentence is no case of its own, and below which a whole text has no language.
 FIRM, WEAK = 0.25, 0.04
+#: Bytes by which another language must beat the main one of a text to have a sentence of it.
+APART = 4
+#: Share by which the dictionary of a language must make all its sentences in a text smaller than no dictionary does.
+FIT = 0.05
 
 
 def segments(text: str, model: Compressors) -> list[tuple[int, int, str, float, int]]:
-    """Stretches ``(start, end, language, confidence, sentences)`` of a text, in order."""
+    """Stretches ``(start, end, language, confidence, sentences)`` of a text, in order.
+
+    A sentence goes to another language than the main one of the text only if that
+    one makes it firmly smaller, by ``APART`` bytes and twice ``FIT`` of its size.  Sentences of a language whose
+    dictionary hardly helps with them are ``und``.
+    """
     spans = []
-    total: Counter = Counter()
     for a, b in sentences(text):
         words, script = prose(text[a:b])
-        if not words:
-            continue
-        sizes = model.sizes(words, script)
-        lang, sure = best(sizes, len(words))
-        spans.append([a, b, lang if sure >= FIRM else "", sure, sizes, len(words)])
+        if words:
+            plain, sizes = model.sizes(words, script)
+            lang, sure = best(sizes)
+            if len(sizes) == 1:  # the only language of its script: compared with no dictionary
+                sure = min(1.0, max(0.0, 1 - sizes[lang] / max(1, plain)) * 2.5)
+            spans.append([a, b, lang if sure >= FIRM or len(sizes) == 1 else "" if sizes else UNKNOWN, sure, sizes, len(words), plain])
     if not spans:
         return []
     letters: Counter = Counter()
+    total: Counter = Counter()
     for s in spans:
+        total.update(s[4])
         if s[2]:
             letters[s[2]] += s[5]
     if letters:
         main = max(sorted(letters), key=letters.__getitem__)
     else:
-        for s in spans:
-            total.update(s[4])
-        main, sure = best(dict(total), 0)
+        main, sure = best(dict(total))
         main = main if sure >= WEAK else UNKNOWN
+    size: Counter = Counter()
+    plain: Counter = Counter()
+    for s in spans:
+        if not s[2]:
+            s[2] = main if main in s[4] or main == UNKNOWN else best(s[4])[0]
+        elif s[2] != main and main in s[4] and (s[4][main] - s[4][s[2]] < APART or s[4][s[2]] > (1 - 2 * FIT) * s[6]):
+            s[2] = main
+        size[s[2]] += s[4].get(s[2], s[6])
+        plain[s[2]] += s[6]
     out: list[list] = []
-    for a, b, lang, sure, sizes, n in spans:
-        lang = lang or main
+    for a, b, lang, sure, _, n, _ in spans:
+        lang = lang if size[lang] <= (1 - FIT) * plain[lang] else UNKNOWN
+        sure = sure if lang != UNKNOWN else 0.0
         if out and out[-1][2] == lang:
             last = out[-1]
             last[1], last[3], last[4], last[5] = b, last[3] + sure * n, last[4] + 1, last[5] + n
@@ -198,7 +223,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
         model = _build(other)
         for lang, parts in half.items():
             for words, script in parts:
-                best_lang, sure = best(model.sizes(words, script), len(words))
+                best_lang, sure = best(model.sizes(words, script)[1])
                 if best_lang in (lang, UNKNOWN) or sure < 2 * FIRM:
                     clean[lang].append((words, script))
     return _dictionaries(clean), _scripts(clean)
@@ -253,16 +278,15 @@ def language_segments(df: DataFrame, text: str, model: tuple[dict[str, bytes], d
     return df.withColumn(out, F.arrow_udf(run, SEGMENTS_TYPE)(F.col(text)))
 
 
-_models: dict[int, Compressors] = {}
+_models: list[tuple[object, Compressors]] = []
 
 
 def _model(shared) -> Compressors:
-    """The compressors of a broadcast model, made once in each worker."""
+    """The compressors of a broadcast model, made once in each worker; the model itself is kept, so another one is never taken for it."""
     value = shared.value
-    if id(value) not in _models:
-        _models.clear()
-        _models[id(value)] = Compressors(*value)
-    return _models[id(value)]
+    if not _models or _models[0][0] is not value:
+        _models[:] = [(value, Compressors(*value))]
+    return _models[0][1]
 
 
 def detect(df: DataFrame, text: str, model) -> DataFrame:

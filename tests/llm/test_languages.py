@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,3 +44,60 @@ def test_segments_lie_in_the_text(spark, model):
 @pytest.mark.parametrize(("label", "code"), [("en-US", "en"), (" GERMAN ", "de"), ("kor", "ko"), ("und", None), ("", None), (None, None), ("n/a", None), ("pt_BR", "pt")])
 def test_labels(spark, label, code):
     assert spark.createDataFrame([(label,)], "l string").select(languages.code_of(F.col("l")).alias("c")).first()["c"] == code
+
+
+#: Texts in languages that nothing was learned about.
+STRANGE = {
+    "nl": "De server kon de verbinding met de database niet herstellen. Het bestand werd gisteren door een andere gebruiker verwijderd.",
+    "it": "Il server non riesce a raggiungere il database principale. Il file cancellato ieri apparteneva a un altro utente.",
+    "zh": "服务器无法连接到主数据库，请检查网络设置。该文件昨天被其他用户删除了。",
+}
+PARTS = {
+    "en": (["The backup job", "The media server", "The tape drive", "The client agent", "The catalog", "The storage pool"], ["stopped after the update", "needs more free space", "was moved to another host", "skips all changed files", "repeats the same warning", "refuses the new certificate"], ["since last week", "every night", "before the restart", "without any message"]),
+    "es": (["La copia", "El servidor", "La unidad de cinta", "El agente", "El catálogo", "El almacén"], ["se detuvo tras la actualización", "necesita más espacio libre", "se movió a otro equipo", "omite los archivos modificados", "repite la misma advertencia", "rechaza el certificado nuevo"], ["desde la semana pasada", "todas las noches", "antes del reinicio", "sin ningún mensaje"]),
+    "pt": (["A cópia", "O servidor", "A unidade de fita", "O agente", "O catálogo", "O repositório"], ["parou depois da atualização", "precisa de mais espaço livre", "foi movido para outra máquina", "ignora os arquivos alterados", "repete o mesmo aviso", "recusa o novo certificado"], ["desde a semana passada", "todas as noites", "antes do reinício", "sem nenhuma mensagem"]),
+    "de": (["Die Sicherung", "Der Server", "Das Bandlaufwerk", "Der Agent", "Der Katalog", "Der Speicher"], ["brach nach der Aktualisierung ab", "benötigt mehr freien Platz", "wurde auf einen anderen Rechner verlegt", "überspringt geänderte Dateien", "wiederholt dieselbe Warnung", "verweigert das neue Zertifikat"], ["seit letzter Woche", "jede Nacht", "vor dem Neustart", "ohne jede Meldung"]),
+}
+
+
+def _said(rng, lang, n):
+    who, what, when = PARTS[lang]
+    return [f"{rng.choice(who)} {rng.choice(what)} {rng.choice(when)}." for _ in range(n)]
+
+
+def test_wrong_labels_quotes_and_single_sentences(spark):
+    """Precision and recall with an eighth of the training labels wrong, quotes, and inserts of one sentence."""
+    rng = np.random.default_rng(4)
+    langs = sorted(PARTS)
+    train = [(" ".join(_said(rng, lang, 8)), lang if k % 8 else langs[(langs.index(lang) + 1 + k % 3) % 4]) for lang in langs for k in range(96)]
+    model = languages.Compressors(*languages.train(spark.createDataFrame(train, "text string, lang string")))
+    want, got = set(), set()
+    for k in range(200):
+        lang, other = langs[k % 4], langs[(k % 4 + 1 + k // 4 % 3) % 4]
+        parts = _said(rng, lang, 5)
+        kind = k // 4 % 3
+        if kind:
+            insert = _said(rng, other, 1)[0]
+            parts.insert(int(rng.integers(6)), insert if kind == 1 else f"“{insert}”")
+        want |= {(k, lang)} | ({(k, other)} if kind else set())
+        got |= {(k, s[2]) for s in languages.segments(" ".join(parts), model)}
+    assert len(want & got) >= 0.95 * len(got) and len(want & got) >= 0.95 * len(want), (sorted(got - want)[:9], sorted(want - got)[:9])
+
+
+def test_unknown_languages_are_rejected(model):
+    known = languages.Compressors(*model)
+    for lang, text in STRANGE.items():
+        assert {s[2] for s in languages.segments(text, known)} == {languages.UNKNOWN}, lang
+    mixed = languages.segments(TEXTS["en"] + "\n" + STRANGE["zh"], known)
+    assert [s[2] for s in mixed] == ["en", languages.UNKNOWN]
+    assert languages.segments("", known) == [] and languages.segments("a" * 100_000, known) == []
+
+
+def test_another_model_in_the_same_worker_is_not_taken_for_the_first():
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    a, b = (({"en": x * 50}, {"latin": ["en"]}) for x in (b"one sentence of words\n", b"another text\n"))
+    first = languages._model(Shared(a))
+    assert languages._model(Shared(a)) is first and languages._model(Shared(b)) is not first
