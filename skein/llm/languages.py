@@ -44,10 +44,10 @@ REMEMBERED = 100_000
 UNKNOWN = "und"
 SEGMENTS_TYPE = "array<struct<seg_start:int,seg_end:int,lang_code:string,confidence:double,sentences:int>>"
 
-#: Things that belong to no language: whatever holds a digit, a path or code sign, and words with signs inside.
-_FOREIGN = re.compile(r"\S*[\d/\\_=<>$#@|{}\[\]`~^]\S*|(?<!\S)-{1,2}\w\S*|\b[A-Z]{2,}(?:-[A-Z]+)*\b|\b[A-Z][a-z]+[A-Z]\w*\b")
-_WIDE_FOREIGN = re.compile(r"[A-Za-z0-9/\\_=<>$#@|{}\[\]`~^:.,+-]*[\d/\\_=<>$#@|{}\[\]`~^][A-Za-z0-9/\\_=<>$#@|{}\[\]`~^:.,+-]*|[A-Za-z]+")
-_STOP = re.compile(r"[.!?]+[\"”’»」』)]*(?=\s|$)|[。！？]+[\"”’»」』)]*|\n")
+#: Signs of code, what stands for an option, and names of programs; runs of Latin letters and signs in other scripts.
+_CODED, _OPTION, _NAMED = re.compile(r"[\d/\\_=<>$#@|{}\[\]`~^]"), re.compile(r"-{1,2}\w"), re.compile(r"\b[A-Z]{2,}(?:-[A-Z]+)*\b|\b[A-Z][a-z]+[A-Z]\w*\b")
+_LATIN_RUN, _LATIN_LETTERS = re.compile(r"[A-Za-z0-9/\\_=<>$#@|{}\[\]`~^:.,+-]+"), re.compile(r"[A-Za-z]+")
+_STOP = re.compile(r"(?<![.!?])[.!?]++[\"”’»」』)]*(?=\s|$)|[。！？]+[\"”’»」』)]*|\n")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힣ｦ-ﾟ]")
 _HANGUL = re.compile(r"[ᄀ-ᇿ㄰-㆏가-힣]")
 _KANA = re.compile(r"[぀-ヿｦ-ﾟ]")
@@ -73,7 +73,7 @@ def prose(sentence: str) -> tuple[str, str]:
     wide = len(_WIDE.findall(sentence))
     body = _MARK.sub("", sentence).strip()
     if wide:
-        words = " ".join(_WIDE_FOREIGN.sub(" ", body).split())
+        words = " ".join(_LATIN_RUN.sub(_without_latin, body).split())
         left = len(_WIDE.findall(words))
         if left < 5 or left < 0.25 * len(_LETTER.findall(body)):
             return _latin(body)
@@ -82,10 +82,16 @@ def prose(sentence: str) -> tuple[str, str]:
     return _latin(body)
 
 
+def _without_latin(run: re.Match) -> str:
+    """Nothing of a run that is code; else its signs."""
+    return " " if _CODED.search(run[0]) else _LATIN_LETTERS.sub(" ", run[0])
+
+
 def _latin(body: str) -> tuple[str, str]:
-    kept = _FOREIGN.sub(" ", body)
-    words = [w for w in kept.split() if _LETTER.search(w)]
-    if len(words) < 2 or 2 * len(words) < len(body.split()) or len(words) < 3 and not re.search(r"[.!?][\"”’»」)]*$", body):
+    chunks = body.split()
+    kept = " ".join(x for x in chunks if not _CODED.search(x) and not _OPTION.match(x))
+    words = [w for w in _NAMED.sub(" ", kept).split() if _LETTER.search(w)]
+    if len(words) < 2 or 2 * len(words) < len(chunks) or len(words) < 3 and not re.search(r"[.!?][\"”’»」)]*$", body):
         return "", ""
     return " ".join(words), "latin"
 

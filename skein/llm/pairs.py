@@ -66,7 +66,7 @@ ECHO = {
 }
 
 _UNSEEN = re.compile("[" + "".join(f"\\U{p:08x}" for p in UNSEEN) + "\\x00-\\x08\\x0e-\\x1f]")
-_TAG, _WORD, _CODE = re.compile(r"<[^<>]{0,200}>"), re.compile(r"[^\W_]+"), re.compile(r"[!-~]*[\d/\\_][!-~]*|\b[A-Z]{2,}(?:-[A-Z]+)*\b|\b[A-Z][a-z]+[A-Z]\w*\b")
+_TAG, _WORD, _RUN, _SIGN, _NAME = re.compile(r"<[^<>]{0,200}>"), re.compile(r"[^\W_]+"), re.compile(r"[!-~]+"), re.compile(r"[\d/\\_]"), re.compile(r"\b[A-Z]{2,}(?:-[A-Z]+)*\b|\b[A-Z][a-z]+[A-Z]\w*\b")
 _PART = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|#")
 _INNER = re.compile(r"(?<=\w)[^\w\s](?=\w)")
 _ITEM = re.compile(r"\s*(?:\d{1,3}[.)]|[-*•])\s*")
@@ -91,8 +91,15 @@ def is_empty(text: str | None) -> bool:
     return not _WORD.search(body) or body in NOTHING
 
 
+def _coded(text: str) -> str:
+    """A text in which ``#`` stands for codes and names of programs."""
+    if _SIGN.search(text):
+        text = _RUN.sub(lambda m: "#" if _SIGN.search(m[0]) else m[0], text)
+    return _NAME.sub("#", text)
+
+
 def _masked(sentence: str) -> str:
-    return " ".join(_CODE.sub("#", sentence).casefold().split())
+    return " ".join(_coded(sentence).casefold().split())
 
 
 def _sentences(text: str) -> list[str]:
@@ -180,7 +187,7 @@ class Chunks:
         if found is None:
             if len(self.seen) >= REMEMBERED:
                 self.seen.clear()
-            masked = _PART.findall(_CODE.sub("#", chunk).casefold())
+            masked = _PART.findall(_coded(chunk).casefold())
             row = len(self.seen)
             if row >= len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
@@ -200,7 +207,7 @@ class Chunks:
         size, wide_points, wide_owner = np.zeros(len(texts), np.int64), [], []
         for k, text in enumerate(texts):
             if _mostly_wide(text):
-                points = np.frombuffer("".join(_CODE.sub("#", text).casefold().split()).encode("utf-32-le", "replace"), np.uint32)
+                points = np.frombuffer("".join(_coded(text).casefold().split()).encode("utf-32-le", "replace"), np.uint32)
                 wide_points.append(points)
                 wide_owner.append(np.full(len(points), k))
                 continue

@@ -69,7 +69,7 @@ def test_wrong_labels_quotes_and_single_sentences(spark):
     """Precision and recall with an eighth of the training labels wrong, quotes, and inserts of one sentence."""
     rng = np.random.default_rng(4)
     langs = sorted(PARTS)
-    train = [(" ".join(_said(rng, lang, 8)), lang if k % 8 else langs[(langs.index(lang) + 1 + k % 3) % 4]) for lang in langs for k in range(96)]
+    train = [(" ".join(_said(rng, lang, 8)), lang if k % 8 else langs[(langs.index(lang) + 1 + k % 3) % 4]) for lang in langs for k in range(200)]
     model = languages.Compressors(*languages.train(spark.createDataFrame(train, "text string, lang string")))
     want, got = set(), set()
     for k in range(200):
