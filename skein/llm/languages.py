@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.spread import spread
-from .lookalikes import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS, OTHER, OTHER_AS, UNSEEN
+from .lookalikes import UNSEEN, looks
 
 #: Two-letter codes and the names under which labels give them (besides locales such as ``en-US``).
 NAMES = {
@@ -53,7 +53,7 @@ _HANGUL = re.compile(r"[ᄀ-ᇿ㄰-㆏가-힣]")
 _KANA = re.compile(r"[぀-ヿｦ-ﾟ]")
 _LETTER = re.compile(r"[^\W\d_]")
 #: Letters of other scripts that stand for Latin ones, and characters that cannot be seen.
-_LOOKS = {ord(a): b for a, b in zip(CYRILLIC + GREEK + OTHER, CYRILLIC_AS + GREEK_AS + OTHER_AS)} | dict.fromkeys(UNSEEN)
+_LOOKS = {ord(a): b for a, b in looks().items() if b.isascii()} | dict.fromkeys(UNSEEN)
 _MARK = re.compile(r"^\s*(?:[-*•>#|]+|\(?\d{1,4}[.):])\s+")
 
 

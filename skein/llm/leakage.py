@@ -39,6 +39,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MARK = re.compile(r"(?m)^[ \t]*(?:(?:[>#*|•–-]+|\(?\d{1,4}[.):\]|])[ \t]+)+")
 _BROKEN = re.compile(r"(?<=\w)[-‐]\n(?=\w)")
 _SIGN = re.compile(r"(?:_|[^\w\s])+")
+#: Characters of scripts without blanks between words, each of which is a word here; how many of them make up a word of other scripts.
+_UNSPACED, UNSPACED_CHARS = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]"), 2
+#: Blocks of items that a worker holds in one scan.
+BLOCKS_AT_ONCE = 4
 
 
 @lru_cache(maxsize=1)
@@ -55,8 +59,11 @@ def _fold() -> np.ndarray:
 
 
 def words_of(text: str) -> list[str]:
-    """Words of a text, as blanks part them, without case, line marks and signs (``n'en`` is one word)."""
-    return [w for w in _SIGN.sub("", _MARK.sub("", text).lower()).split() if w]
+    """Words of a text, as blanks part them, without case, line marks and signs (``n'en`` is one word); of scripts without blanks, characters."""
+    plain = _SIGN.sub("", _MARK.sub("", text).lower())
+    if not plain.isascii():
+        plain = _UNSPACED.sub(r" \g<0> ", plain)
+    return plain.split()
 
 
 def _grams(stream: np.ndarray) -> np.ndarray:
@@ -92,15 +99,16 @@ class Items:
         self.sieve[(self.hashes >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
         self.runs = [_runs_of(t) for t in self.tokens]
         self.longest = max((len(s) for s in streams), default=0)
-        self.least = np.array([self._least([len(w) for w in t]) for t in self.tokens], np.int64)
+        self.scale = [UNSPACED_CHARS if 2 * sum(bool(_UNSPACED.match(w)) for w in t) > len(t) else 1 for t in self.tokens]
+        self.least = np.array([self._least([len(w) for w in t], words * n) for t, n in zip(self.tokens, self.scale)], np.int64)
 
-    def _least(self, sizes: list[int]) -> int:
-        """Fewest q-grams that a passage keeps if ``words // rate`` of its words are changed."""
-        if len(sizes) < self.words:
+    def _least(self, sizes: list[int], words: int) -> int:
+        """Fewest q-grams that a passage of so many words keeps if one of them is changed; more than any text has if the item is shorter."""
+        if len(sizes) < words:
             return 1 << 40
         least = 1 << 40
-        for a in range(len(sizes) - self.words + 1):
-            part = sizes[a : a + self.words]
+        for a in range(len(sizes) - words + 1):
+            part = sizes[a : a + words]
             total = sum(part)
             before = 0
             for w in part:
@@ -207,7 +215,8 @@ def _search(ids: pa.Array, texts: pa.Array, items: Items) -> tuple[list, list]:
                 whole = _BROKEN.sub("", text)
                 plain, joined = ((w, _runs_of(w)) for w in (words_of(text), words_of(whole) if whole != text else []))
                 last = doc
-            if any(holds(items.tokens[k], items.runs[k], words, runs, items.words, items.rate) for words, runs in (plain, joined)):
+            scale = items.scale[k]
+            if any(holds(items.tokens[k], items.runs[k], words, runs, items.words * scale, items.rate * scale) for words, runs in (plain, joined)):
                 keys.append(ids[a + doc].as_py())
                 found.append(int(items.ids[k]))
     return keys, found
@@ -222,36 +231,49 @@ def _distinct_counts(keys: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, n
     return both[first], np.diff(np.append(first, len(both)))
 
 
+_built: list[tuple[object, list[Items]]] = []
+
+
+def _blocks(value: list[list[tuple[int, str]]], words: int, rate: int) -> list[Items]:
+    """The q-grams of broadcast blocks of items, made once in each worker."""
+    if not _built or _built[0][0] is not value:
+        _built[:] = [(value, [Items([k for k, _ in part], [t for _, t in part], words, rate) for part in value])]
+    return _built[0][1]
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", words: int = 12, rate: int = 8) -> DataFrame:
     """Rows ``(<key>, <item_key>)``, each once, of documents that hold a passage of an item.
 
     A passage is at least ``words`` words in a row of the item, of which at most
-    one in ``rate`` is changed, added or left out.  All documents are searched for
-    all items, the items in blocks of ``BLOCK_CHARS`` characters, so what a worker
-    holds is bounded.  Null or empty texts and items shorter than ``words`` hold
-    nothing; a document key that repeats counts once.
+    one in ``rate`` is changed, added or left out; of scripts without blanks, twice
+    as many characters.  All documents are searched for all items, the items in
+    blocks of ``BLOCK_CHARS`` characters, ``BLOCKS_AT_ONCE`` of them in one scan, so
+    what a worker holds is bounded.  A word added to a passage that is longer than
+    half of ``BAND`` letters parts it into two.  Null or empty texts and items
+    shorter than ``words`` hold nothing; a document key that repeats counts once.
     """
     schema = T.StructType([docs.schema[key], T.StructField(item_key, T.LongType())])
-    out = None
-    block: list[tuple[int, str]] = []
+    out: DataFrame | None = None
+    blocks: list[list[tuple[int, str]]] = [[]]
     chars = 0
 
-    def search(part: list[tuple[int, str]]) -> DataFrame:
-        packed = docs.sparkSession.sparkContext.broadcast(part)
+    def search(parts: list[list[tuple[int, str]]]) -> DataFrame:
+        packed = docs.sparkSession.sparkContext.broadcast(parts)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = Items([k for k, _ in packed.value], [t for _, t in packed.value], words, rate)
             for batch in batches:
-                keys, found = _search(batch.column(0), batch.column(1), known) if len(known.hashes) else ([], [])
-                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(found, pa.int64())], names=[key, item_key])
+                for known in _blocks(packed.value, words, rate):
+                    keys, found = _search(batch.column(0), batch.column(1), known) if len(known.hashes) else ([], [])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(found, pa.int64())], names=[key, item_key])
 
         return docs.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, schema)
 
     for row in items.where(F.col(item_text).isNotNull()).select(item_key, item_text).toLocalIterator():
-        block.append((row[0], row[1]))
-        chars += len(row[1])
         if chars >= BLOCK_CHARS:
-            out, block, chars = (search(block) if out is None else out.unionByName(search(block))), [], 0
-    if block or out is None:
-        out = search(block) if out is None else out.unionByName(search(block))
+            if len(blocks) == BLOCKS_AT_ONCE:
+                out, blocks = search(blocks) if out is None else out.unionByName(search(blocks)), []
+            blocks, chars = [*blocks, []], 0
+        blocks[-1].append((row[0], row[1]))
+        chars += len(row[1])
+    out = search(blocks) if out is None else out.unionByName(search(blocks))
     return out.distinct()

@@ -7,13 +7,12 @@ number that its stretch of the sum crosses.
 
 from __future__ import annotations
 
+import ast
 import base64
 import os
-import runpy
-from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,37 +24,59 @@ from .sizes import broadcast_checked
 TOKENIZERS_DIR, TOKENIZER = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
 #: Documents of one source and size that are put in order in one task.
 SLOT_ROWS = 200_000
-#: Characters tokenized at once; a longer text is counted in parts cut before a blank, where the pattern cuts as well.
+#: Characters tokenized at once, where a longer text has a place at which the pattern cuts.
 PART_CHARS = 200_000
 
 
-@lru_cache(maxsize=4)
-def _encoding(folder: str, name: str):
-    import tiktoken
-
+def read_tokenizer(folder: str, name: str) -> tuple[str, dict[bytes, int], str]:
+    """Name, ranks and pattern of a public tokenizer; the pattern is read as a constant, nothing in the folder is run."""
     with open(os.path.join(folder, name), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
-    pattern = runpy.run_path(os.path.join(folder, "__init__.py"))["PATTERN"]
-    return tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    with open(os.path.join(folder, "__init__.py")) as source:
+        found = [n.value for n in ast.parse(source.read()).body if isinstance(n, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "PATTERN" for t in n.targets)]
+    return name, ranks, ast.literal_eval(found[0])
+
+
+_encodings: list[tuple[object, object]] = []
+
+
+def _encoding(value: tuple[str, dict[bytes, int], str]):
+    """The encoding of a broadcast tokenizer, made once in each worker."""
+    if not _encodings or _encodings[0][0] is not value:
+        import tiktoken
+
+        name, ranks, pattern = value
+        _encodings[:] = [(value, tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))]
+    return _encodings[0][1]
+
+
+def _cuttable(text: str, at: int) -> bool:
+    """Whether the pattern cuts before ``at``: a single blank between others that are none."""
+    return text[at] == " " and not text[at - 1].isspace() and at + 1 < len(text) and not text[at + 1].isspace()
 
 
 def _parts(text: str) -> list[str]:
+    """A text in parts that together have as many tokens as the whole: it is cut where the pattern cuts as well, or not at all."""
     out, at = [], 0
     while len(text) - at > PART_CHARS:
         cut = at + PART_CHARS
-        while cut > at + 1 and not (text[cut] == " " and not text[cut - 1].isspace() and cut + 1 < len(text) and not text[cut + 1].isspace()):
+        while cut > at + 1 and not _cuttable(text, cut):
             cut -= 1
-        cut = cut if cut > at + 1 else at + PART_CHARS
+        if cut == at + 1:
+            cut = at + PART_CHARS
+            while cut < len(text) and not _cuttable(text, cut):
+                cut += 1
         out.append(text[at:cut])
         at = cut
-    return [*out, text[at:]]
+    return [*out, text[at:]] if at < len(text) else out
 
 
-def token_count(text: Column, folder: str = TOKENIZERS_DIR, name: str = TOKENIZER) -> Column:
-    """Tokens of a text by a public tokenizer; 0 for null and empty."""
+def token_count(text: Column, folder: str, name: str = TOKENIZER) -> Column:
+    """Tokens of a text by a public tokenizer, which the driver reads from ``folder`` and sends to the workers; 0 for null and empty."""
+    shared = SparkSession.active().sparkContext.broadcast(read_tokenizer(folder, name))
 
     def run(texts: pa.Array) -> pa.Array:
-        code = _encoding(folder, name)
+        code = _encoding(shared.value)
         return pa.array([sum(len(code.encode_ordinary(p)) for p in _parts(t)) if t else 0 for t in texts.to_pylist()], pa.int64())
 
     return F.arrow_udf(run, "bigint")(text)
@@ -70,10 +91,10 @@ def plan_shares(sized: DataFrame, weights: DataFrame, total_tokens: int | None =
     would need more repeats stop at ``max_repeats``.  The share of a listed source
     without tokens is spread over the others in proportion.
     """
-    have = sized.groupBy("source").agg(F.sum("n_tokens").alias("have_tokens"), F.count("*").alias("have_docs"))
+    have = sized.groupBy("source").agg(F.sum("n_tokens").alias("have_tokens"), F.count("*").alias("have_docs"), F.max("n_tokens").alias("largest_doc"))
     norm = weights.where(F.col("source").isNotNull()).select(F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats")
     norm = norm.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    rows = broadcast_checked(norm).join(have, "source", "left").na.fill(0, ["have_tokens", "have_docs"]).na.fill(0.0, ["target_share"]).na.fill(1, ["max_repeats"])
+    rows = broadcast_checked(norm).join(have, "source", "left").na.fill(0, ["have_tokens", "have_docs", "largest_doc"]).na.fill(0.0, ["target_share"]).na.fill(1, ["max_repeats"])
     live = (F.col("have_tokens") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
     everyone = W.partitionBy(F.lit(1))
     rows = rows.withColumn("live_share", F.sum(F.when(live, F.col("target_share"))).over(everyone))
@@ -81,7 +102,7 @@ def plan_shares(sized: DataFrame, weights: DataFrame, total_tokens: int | None =
     most = F.min(F.when(live, F.col("max_repeats") * F.col("have_tokens") / F.col("aim_share"))).over(everyone)
     rows = rows.withColumn("mix_tokens", F.lit(total_tokens).cast("double") if total_tokens is not None else most)
     rate = F.least(F.col("max_repeats").cast("double"), F.col("mix_tokens") * F.col("aim_share") / F.col("have_tokens"))
-    return rows.select("source", "target_share", "max_repeats", "have_tokens", "have_docs", "aim_share", "mix_tokens", F.when(live, rate).otherwise(0.0).alias("rate"))
+    return rows.select("source", "target_share", "max_repeats", "have_tokens", "have_docs", "largest_doc", "aim_share", "mix_tokens", F.when(live, rate).otherwise(0.0).alias("rate"))
 
 
 def _numbered(df: DataFrame, source: str, key: str) -> DataFrame:
@@ -106,7 +127,9 @@ def mix_sources(docs: DataFrame, weights: DataFrame, key: str = "doc_id", text:
     ``mix`` has a row per document that is used: ``<key>``, ``source``, ``n_tokens``
     and how often it is used, ``copies`` (never above ``max_repeats``).  ``shares``
     has a row per listed source with ``target_share`` and the ``actual_share``
-    reached.  Sources are compared without case and outer blanks; documents of
+    reached, and with how many tokens that is off the aim, at most twice the largest
+    document of the source: in order of size each pick stands for its neighbours, and
+    a last stretch may be one document short or over.  Sources are compared without case and outer blanks; documents of
     sources that are not listed, or of none, are not used.  A document without
     text has no tokens and is not used.
     """
@@ -126,7 +149,7 @@ def _shares(mix: DataFrame, plan: DataFrame) -> DataFrame:
     got = mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"), F.sum("copies").alias("records"), F.max("copies").alias("most_copies"))
     all_rows = plan.join(got, "source", "left").na.fill(0, ["mixed_tokens", "records", "most_copies"])
     total = F.sum("mixed_tokens").over(W.partitionBy(F.lit(1)))
-    return all_rows.select("source", "target_share", (F.col("mixed_tokens") / F.when(total > 0, total)).alias("actual_share"), "mixed_tokens", "records", "most_copies", "max_repeats", "have_tokens", "have_docs")
+    return all_rows.select("source", "target_share", (F.col("mixed_tokens") / F.when(total > 0, total)).alias("actual_share"), "mixed_tokens", "records", "most_copies", "max_repeats", "have_tokens", "have_docs", (F.abs(F.col("mixed_tokens") - F.col("rate") * F.col("have_tokens"))).alias("tokens_off"), (2 * F.col("largest_doc")).alias("most_tokens_off"))
 
 
 def emit_copies(mix: DataFrame) -> DataFrame:

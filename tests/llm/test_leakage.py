@@ -1,3 +1,4 @@
+import numpy as np
 import random
 
 from skein.llm import leakage
@@ -71,3 +72,42 @@ def test_blocks_of_items(spark, monkeypatch):
     docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     items = spark.createDataFrame([(k, ITEM) for k in range(3)], "item_id long, text string")
     assert leakage.find_leaks(docs, items).count() == 3
+
+
+def test_scripts_without_blanks(spark):
+    """Recall over passages cut out of Japanese, Chinese and Thai items, with a character changed, in longer texts."""
+    rng = np.random.default_rng(8)
+    alphabets = {"ja": [*map(chr, range(0x3042, 0x3090)), *map(chr, range(0x4E00, 0x4F00))], "zh": [*map(chr, range(0x5000, 0x5400))], "th": [*map(chr, range(0x0E01, 0x0E2F))]}
+    items, docs, want, k = [], [], set(), 0
+    for n, letters in enumerate(alphabets.values()):
+        for j in range(6):
+            item = "".join(rng.choice(letters, 60))
+            items.append((n * 10 + j, item))
+            noise = lambda m: "".join(rng.choice(letters, m))  # noqa: E731, B023
+            passage = list(item[10 : 10 + 26])
+            docs += [(k, noise(80) + "".join(passage) + "。" + noise(50)), (k + 2, noise(40) + item[:14] + noise(40))]
+            passage[int(rng.integers(8, 18))] = letters[0] if passage[12] != letters[0] else letters[1]
+            docs.append((k + 1, noise(30) + "".join(passage) + noise(30)))
+            want |= {(k, n * 10 + j), (k + 1, n * 10 + j)}
+            k += 3
+    got = {tuple(r) for r in leakage.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want and len(got & want) >= 0.97 * len(want), (sorted(want - got), sorted(got - want))
+
+
+def test_blocks_of_items_are_searched_in_few_scans(spark, monkeypatch):
+    words = [f"w{k}x" for k in range(400)]
+    items = spark.createDataFrame([(k, " ".join(words[k * 20 : k * 20 + 20])) for k in range(20)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, "before it " + " ".join(words[k * 20 + 3 : k * 20 + 17]) + " after") for k in range(20)] + [(99, None), (98, "")], "doc_id long, text string")
+    whole = {tuple(r) for r in leakage.find_leaks(docs, items).collect()}
+    assert whole == {(k, k) for k in range(20)}
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 150)
+    assert {tuple(r) for r in leakage.find_leaks(docs, items).collect()} == whole
+    assert leakage.find_leaks(docs, items.limit(0)).count() == 0
+
+
+def test_an_added_word_longer_than_half_a_band(spark):
+    item = [f"word{k}" for k in range(26)]
+    one = lambda added: spark.createDataFrame([(1, " ".join([*item[:8], *added, *item[8:16]]))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert leakage.find_leaks(one(["short"]), items).count() == 1
+    assert leakage.find_leaks(one(["x" * (leakage.BAND // 2 - 2)]), items).count() == 1

@@ -18,6 +18,7 @@ def test_shares(spark, docs):
     got = {r["source"]: r for r in shares.collect()}
     for source, aim in (("a", 0.5 / 0.9), ("b", 0.3 / 0.9), ("hot", 0.1 / 0.9)):
         assert got[source]["actual_share"] == pytest.approx(aim, abs=0.01)
+        assert got[source]["tokens_off"] <= got[source]["most_tokens_off"]
     assert got["none"]["actual_share"] == 0 and got["none"]["have_docs"] == 0
     assert mixing.emit_copies(mix).count() == sum(r["copies"] for r in rows)
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix_sources(docs.repartition(7), weights)[0].collect()))
@@ -45,7 +46,9 @@ def test_nothing(spark, docs):
 
 def test_long_texts_are_counted_in_parts(spark, monkeypatch):
     text = ("word and more, " * 500).strip()
-    code = mixing._encoding(mixing.TOKENIZERS_DIR, mixing.TOKENIZER)
+    code = mixing._encoding(mixing.read_tokenizer(mixing.TOKENIZERS_DIR, mixing.TOKENIZER))
     monkeypatch.setattr(mixing, "PART_CHARS", 100)
     assert sum(len(code.encode_ordinary(p)) for p in mixing._parts(text)) == len(code.encode_ordinary(text)) and "".join(mixing._parts(text)) == text
-    assert "".join(mixing._parts("x" * 1000)) == "x" * 1000
+    assert mixing._parts("x" * 1000) == ["x" * 1000]
+    for odd in ("x" * 250 + " y" * 200, "サーバー" * 80 + " end of it", "a\n" * 300, "  ".join("ab" * 90)):
+        assert sum(len(code.encode_ordinary(p)) for p in mixing._parts(odd)) == len(code.encode_ordinary(odd)) and "".join(mixing._parts(odd)) == odd
