@@ -15,9 +15,12 @@ import itertools
 import math
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,14 +48,15 @@ RATIO = 40
 #: Costs of a reading, in natural logarithms of its chance: a misread sign, a blank put in, a blank lost, an unknown word, each of its letters and each of its Hangul syllables.
 MISREAD_COST, TORN_COST, LOST_COST, UNKNOWN_COST, LETTER_COST, SYLLABLE_COST = 3.0, 4.0, 12.0, 10.0, 2.5, 5.0
 
+#: Distinct words that a worker counts before it passes them on.
+COUNTED_WORDS = 200_000
 NOISE_TYPE = "array<struct<line_no:int,noise:string>>"
-LINES_TYPE = "array<struct<line_no:int,skeleton:string,place:int,rest:int,number:boolean,head:string,broken:boolean,outer:boolean>>"
+LINES_TYPE = "array<struct<line_no:int,skeleton:bigint,place:int,rest:int,head:string,broken:boolean,outer:boolean>>"
 
-_CHUNK = re.compile(r"\S+")
 _TRIM = "".join(c for c in ".,;:!?()[]{}<>\"'“”„«»「」『』…·*")
 _DIGITS = str.maketrans("lIi|oOsSbBgzZ", "1111005568922")
 _ROMAN = re.compile(r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
-_WORDS_SQL = r"[^\s.,;:!?()\[\]{}<>\"“”„«»「」『』…*=/\\_]+"
+_WORDS = re.compile(r"[^\s.,;:!?()\[\]{}<>\"“”„«»「」『』…*=/\\_]+")
 
 
 def is_code(chunk: str) -> bool:
@@ -69,9 +73,9 @@ def is_code(chunk: str) -> bool:
 def page_number(line: str, page_no: int | None) -> bool:
     """Whether a line gives only the number of its page, in any form."""
     body = line.strip().casefold()
-    if not body or len(body) > 24:
+    if not body:
         return False
-    parts = [p for p in re.split(r"[\s\-–—./|()\[\]:,·*~]+", body) if p]
+    parts = [p for p in _PARTED.split(body, 7) if p]
     if not 1 <= len(parts) <= 4:
         return False
     named, values = False, []
@@ -112,7 +116,13 @@ def _roman(text: str) -> int:
 _SAME = str.maketrans({"@": "a", "1": "l", "i": "l", "|": "l", "0": "o", "5": "s", "6": "b", "h": "b", "9": "g", "e": "c", "f": "t", "v": "u", "2": "z", "8": "b"})
 
 
+_PARTED = re.compile(r"[\s\-–—./|()\[\]:,·*~]+")
 _NOT_LETTER, _NUMBERED, _ACCENTS = re.compile(r"[\W\d_]+"), re.compile(r"\S*\d\S*"), re.compile("[\u0300-\u036f]+")
+_DIGIT = re.compile(r"\d")
+#: Characters that come apart into plain ones: accented letters, combining marks, compatibility and wide forms.
+_APART = re.compile("[\u00a8-\u024f\u0300-\u036f\u1e00-\u218f\u2460-\u24ff\u3000\u3131-\u33ff\uf900-\uffef]")
+_SAME_BYTES = bytes(ord(chr(k).lower().translate(_SAME)) if k < 128 else k for k in range(256))
+_NO_LETTERS = bytes(k for k in range(128) if not chr(k).lower().translate(_SAME).isalpha())
 _FOLDS = [("rn", "m"), ("rl", "n"), ("ln", "m"), ("cl", "d"), ("ll", "u"), ("uu", "w"), ("nn", "m")]
 
 
@@ -125,10 +135,14 @@ def _no_number(match: re.Match) -> str:
 
 def skeleton(line: str) -> str:
     """A line without case, numbers and blanks, in which characters that are misread for each other are one."""
-    text = _NUMBERED.sub(_no_number, line).casefold()
-    if not text.isascii():
-        text = _ACCENTS.sub("", unicodedata.normalize("NFKD", text))
-    text = _NOT_LETTER.sub("", text.translate(_SAME))
+    text = _NUMBERED.sub(_no_number, line) if _DIGIT.search(line) else line
+    if text.isascii():
+        text = text.encode().translate(_SAME_BYTES, _NO_LETTERS).decode()
+    else:
+        text = text.casefold()
+        if _APART.search(text):
+            text = _ACCENTS.sub("", unicodedata.normalize("NFKD", text))
+        text = _NOT_LETTER.sub("", text.translate(_SAME))
     before = ""
     while text != before:
         before = text
@@ -143,22 +157,28 @@ def _ends_broken(line: str) -> bool:
     return len(end) == 2 and end[1] in BREAK_SIGNS and end[0].isalnum()
 
 
-def page_lines(content: str, page_no: int | None) -> list[tuple[int, str, int, int, bool, str, bool, bool]]:
-    """``(line_no, skeleton, place, rest, number, head, broken, outer)`` of the lines that are not blank.
+def number_lines(lines: list[tuple[int, str]], page_no: int | None) -> list[bool]:
+    """Which of the lines ``(line_no, text)`` that are not blank give only the page's number: one of the three outermost at either end."""
+    return [(k < 3 or k >= len(lines) - 3) and page_number(x, page_no) for k, (_, x) in enumerate(lines)]
 
-    ``place`` lines stand before a line and ``rest`` after it, page numbers and blank
-    lines not counted (both -1 for a page number).  ``head`` is its first chunk;
-    ``broken`` tells whether it ends in a hyphen, ``outer`` whether
-    it is the first or the last line of the page with its skeleton.
+
+def page_lines(content: str, page_no: int | None) -> list[tuple[int, int | None, int, int, str, bool, bool]]:
+    """``(line_no, skeleton, place, rest, head, broken, outer)`` of the lines that are not blank and no page number.
+
+    ``skeleton`` is a hash of the line's skeleton, null for a line without letters.
+    ``place`` lines stand before a line and ``rest`` after it.  ``head`` is its first
+    chunk; ``broken`` tells whether it ends in a hyphen, ``outer`` whether it is the
+    first or the last line of the page with its skeleton.
     """
     lines = [(k + 1, x) for k, x in enumerate(content.split("\n")) if x.strip()]
-    numbers = [(k < 3 or k >= len(lines) - 3) and page_number(x, page_no) for k, (_, x) in enumerate(lines)]
-    count, out, place = numbers.count(False), [], 0
-    for (no, x), number in zip(lines, numbers):
-        out.append((no, "", -1, -1, True, "", False, False) if number else (no, skeleton(x), place, count - 1 - place, False, x.split()[0], _ends_broken(x), False))
-        place += not number
-    outer = {x[1]: k for k, x in reversed([*enumerate(out)])}.items() | {x[1]: k for k, x in enumerate(out)}.items()
-    return [(*x[:-1], (x[1], k) in outer) for k, x in enumerate(out)]
+    lines = [x for x, number in zip(lines, number_lines(lines, page_no)) if not number]
+    bones = [skeleton(x) for _, x in lines]
+    first = {x: k for k, x in reversed([*enumerate(bones)])}
+    last = {x: k for k, x in enumerate(bones)}
+    return [
+        (no, xxhash.xxh64_intdigest(bone) - (1 << 63) if bone else None, k, len(lines) - 1 - k, x.split(None, 1)[0], _ends_broken(x), k in (first[bone], last[bone]))
+        for k, ((no, x), bone) in enumerate(zip(lines, bones))
+    ]
 
 
 class Lexicon:
@@ -176,7 +196,8 @@ class Lexicon:
                 at = w.find("-", at + 1)
         self.meant = lru_cache(maxsize=300_000)(self._meant)
         self.fixed = lru_cache(maxsize=300_000)(self._fixed)
-        self.total = max(1, sum(counts.values()))
+        self.total, self.longest = max(1, sum(counts.values())), max(map(len, counts), default=0)
+        self.simple: dict[str, tuple[str, bool] | None] = {}
         self.reading = lru_cache(maxsize=300_000)(self._reading)
 
     def known(self, word: str) -> int:
@@ -205,7 +226,7 @@ class Lexicon:
     def _meant(self, word: str) -> str | None:
         """The known word that ``word`` is a misreading of, if it is one."""
         letters = sum(c.isalpha() for c in word)
-        if len(word) < 2 or letters < 1 or len(word) > 60:
+        if len(word) < 2 or letters < 1 or len(word) > self.longest + 2:  # two misread signs are two letters more at most
             return None
         own = self.known(word)
         odd = any(c in "@|" or c.isdigit() for c in word) or any(a.islower() and b == "I" for a, b in zip(word, word[1:]))
@@ -238,11 +259,8 @@ class Lexicon:
         at, core = _core(chunk)
         if len(core) < 2:
             return chunk
-        if self.known(core) < 10_000 or any(c in "@|" for c in core):
-            meant = self.meant(core)
-            if meant:
-                return chunk[:at] + meant + chunk[at + len(core) :]
-        return chunk
+        meant = self.meant(core)
+        return chunk[:at] + meant + chunk[at + len(core) :] if meant else chunk
 
     def cost(self, word: str) -> float:
         """What a word costs: little if it is common, more for each letter if it is unknown."""
@@ -256,11 +274,11 @@ class Lexicon:
         with a misread part; None if leaving the word whole is cheaper.  Scripts
         written without blanks are not divided.
         """
-        if not 4 <= len(word) <= 60 or any("\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff" for c in word):
+        if len(word) < 4 or any("\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff" for c in word):
             return None
         best: list[tuple[float, str, int]] = [(0.0, "", -1), *[(math.inf, "", -1)] * len(word)]
         for end in range(1, len(word) + 1):
-            for begin in range(end):
+            for begin in range(max(0, end - self.longest - 1), end):
                 if best[begin][0] == math.inf or end - begin == len(word):
                     continue
                 part, misread = word[begin:end], -1
@@ -290,6 +308,19 @@ class Lexicon:
                 return fixed[:at] + parts[0] + fixed[at + len(core) :], parts[1], parts[2] >= 0
         return fixed, cost, False
 
+    def alone(self, chunk: str) -> tuple[str, bool] | None:
+        """The only reading of a chunk and whether it was misread; None if it may also be the beginning of a torn word."""
+        if chunk not in self.simple:
+            if len(self.simple) >= 300_000:
+                self.simple.clear()
+            words, _, wrong = self.reading(chunk, chunk[-1] not in BREAK_SIGNS)
+            self.simple[chunk] = None if self.may_be_torn(chunk) else (words, wrong)
+        return self.simple[chunk]
+
+    def may_be_torn(self, chunk: str) -> bool:
+        """Whether a chunk is no word that is known or can be restored, so that a blank may have torn it off."""
+        return not (chunk in self.counts or len(chunk) < 2 or _core(chunk)[1] != chunk or self.known(chunk) >= KNOWN_LEAST or is_code(chunk) or self.fixed(chunk) != chunk)
+
     def joined(self, left: str, right: str) -> str | None:
         """The word that was broken into ``left`` and ``right`` at the end of a line; None if the hyphen is its own."""
         if not left or not right or not left[-1].isalpha() or not right[0].isalpha() and right[0] not in "@|0156":
@@ -309,8 +340,8 @@ class Lexicon:
             return None
         if self.compound.get(left, 0) > 4 * self.beginning(left):
             return None
-        both = self.known(left) >= 50 and self.known(right) >= 50
-        return None if both and len(left) > 3 and len(right) > 3 else whole
+        apart_cost = self.cost(left) + self.cost(right) + LOST_COST
+        return None if len(left) > 3 and len(right) > 3 and apart_cost < self.cost(whole) else whole
 
     def open_end(self, left: str) -> bool:
         """Whether a page that ends with ``left`` and a hyphen ends inside a broken word, the next page being lost."""
@@ -332,48 +363,68 @@ def decode(content: str, headers: set[int], next_head: str | None, page_no: int
     through the stream the one with the least total cost is chosen.
     """
     noise: list[tuple[int, str]] = []
-    numbers = {no for no, _, _, _, number, *_ in page_lines(content, page_no) if number}
+    every = content.split("\n")
+    full = [(no, x) for no, x in enumerate(every, 1) if x.strip()]
+    numbers = {no for (no, _), number in zip(full, number_lines(full, page_no)) if number}
     lines = []
-    for no, line in enumerate(content.split("\n"), 1):
+    for no, line in enumerate(every, 1):
         if no in headers:
             noise.append((no, "header"))
         elif no in numbers:
             noise.append((no, "page_number"))
         else:
             lines.append((no, line))
-    stream: list[tuple[int, int, str]] = []  # line, place in the line, chunk
-    for k, (_, line) in enumerate(lines):
-        stream += [(k, m.start(), m[0]) for m in _CHUNK.finditer(line)]
+    chunks = [line.split() for _, line in lines]
+    out = [""] * len(lines)
+    glued, broken, misread = [False] * len(lines), set(), set()
+    filled = [k for k, x in enumerate(chunks) if x]
+    begin = 0
+    while begin < len(filled):
+        # Readings go over the end of a line only where it ends in a break sign: lines up to the next one that does not are decoded together.
+        end = begin + 1
+        while end < len(filled) and chunks[filled[end - 1]][-1][-1] in BREAK_SIGNS:
+            end += 1
+        part = filled[begin:end]
+        alone = [lexicon.alone(x) for x in chunks[part[0]]] if len(part) == 1 else [None]
+        if None in alone or begin == 0 and chunks[part[0]][0][0].islower() or chunks[part[0]][-1][-1] in BREAK_SIGNS:
+            _decode_together([(k, x) for k in part for x in chunks[k]], begin == 0, next_head if end == len(filled) else None, end == len(filled), lexicon, out, glued, broken, misread)
+        else:  # each chunk has one reading
+            out[part[0]] = " ".join(x for x, _ in alone)
+            if any(wrong for _, wrong in alone):
+                misread.add(part[0])
+        begin = end
+    noise += [(lines[k][0], "hyphen") for k in sorted(broken)] + [(lines[k][0], "misread") for k in sorted(misread)]
+    return noise, [(no, words, joined) for (no, _), words, joined in zip(lines, out, glued)]
+
+
+def _decode_together(stream: list[tuple[int, str]], first: bool, next_head: str | None, last: bool, lexicon: Lexicon, out: list[str], glued: list[bool], broken: set[int], misread: set[int]) -> None:
+    """The cheapest way through the chunks ``(line, chunk)`` of some lines, entered into ``out``, ``glued``, ``broken`` and ``misread``."""
     best, back = [0.0, *[math.inf] * len(stream)], [None] * (len(stream) + 1)
     for i in range(len(stream)):
         if best[i] == math.inf:
             continue
-        for reading in _readings(stream, i, next_head, lexicon):
+        for reading in _readings(stream, i, first, next_head, last, lexicon):
             cost = best[i] + reading[1]
             if cost < best[reading[0]]:
                 best[reading[0]], back[reading[0]] = cost, (i, reading)
-    out: list[list[str]] = [[] for _ in lines]
-    glued = [False] * len(lines)
-    broken, misread = set(), set()
+    words_of: dict[int, list[str]] = {}
     i = len(stream)
     while i:
         i, (_, _, words, hyphen, glue, wrong) = back[i]
         k = stream[i][0]
-        out[k].append(words)
+        words_of.setdefault(k, []).append(words)
         glued[k] |= glue
         if hyphen:
             broken.add(k)
         if wrong is not None:
             misread.add(wrong)
-    for words in out:
-        words.reverse()
-    noise += [(lines[k][0], "hyphen") for k in sorted(broken)] + [(lines[k][0], "misread") for k in sorted(misread)]
-    return noise, [(no, " ".join(words), joined) for (no, _), words, joined in zip(lines, out, glued)]
+    for k, words in words_of.items():
+        out[k] = " ".join(reversed(words))
 
 
-def _readings(stream: list[tuple[int, int, str]], i: int, next_head: str | None, lexicon: Lexicon) -> list[tuple[int, float, str, bool, bool, int | None]]:
-    """Readings of the chunk at ``i``: ``(next place, cost, words, broken, joined to the next line, misread line)``."""
-    k, _, chunk = stream[i]
+def _readings(stream: list[tuple[int, str]], i: int, first: bool, next_head: str | None, last: bool, lexicon: Lexicon) -> list[tuple[int, float, str, bool, bool, int | None]]:
+    """Readings of the chunk at ``i``: ``(next place, cost, words, broken, joined to the next line, misread line)``; ``first``, ``last``: the page begins or ends with these lines."""
+    k, chunk = stream[i]
     last_of_line = i + 1 == len(stream) or stream[i + 1][0] != k
     if last_of_line and len(chunk) > 1 and chunk[-1] in BREAK_SIGNS and chunk[-2].isalnum():
         at, left = _core(chunk[:-1])
@@ -388,23 +439,23 @@ def _readings(stream: list[tuple[int, int, str]], i: int, next_head: str | None,
             meant = (whole if whole and whole != left + right else lexicon.meant(left + right)) if hyphen else None
             wrong = k if meant and any(x != y for x, y in zip(left, meant)) else None
             return [(i + 1, 0.0, chunk, hyphen, hyphen, wrong)]
-        elif lexicon.open_end(left) or chunk[-1] in "­¬":
+        elif last and (lexicon.open_end(left) or chunk[-1] in "­¬"):
             return [(i + 1, 0.0, chunk, True, False, None)]
     # A chunk after a hyphen, or the first of a page, may be the rest of a word.
-    rest = i == 0 and chunk[:1].islower() or i > 0 and stream[i - 1][0] != k and stream[i - 1][2][-1] in BREAK_SIGNS
+    rest = i == 0 and first and chunk[:1].islower() or i > 0 and stream[i - 1][0] != k and stream[i - 1][1][-1] in BREAK_SIGNS
     words, cost, wrong = lexicon.reading(chunk, not rest and chunk[-1] not in BREAK_SIGNS)
     return [(i + 1, cost, words, False, False, k if wrong else None), *_torn(stream, i, lexicon)]
 
 
-def _broken(stream: list[tuple[int, int, str]], i: int, at: int, left: str, lexicon: Lexicon) -> list[tuple[int, float, str, bool, bool, int | None]]:
+def _broken(stream: list[tuple[int, str]], i: int, at: int, left: str, lexicon: Lexicon) -> list[tuple[int, float, str, bool, bool, int | None]]:
     """Readings of a chunk that a line's end broke, with the next chunk or with the pieces that a blank tore that one into."""
-    k, _, chunk = stream[i]
+    k, chunk = stream[i]
     n, found, following, j = stream[i + 1][0], [], "", i + 1
     while j < len(stream) and stream[j][0] == n:
-        piece_at, piece = _core(stream[j][2])
+        piece_at, piece = _core(stream[j][1])
         if following and (piece_at or len(piece) < 2 or lexicon.known(piece) >= RATIO * max(1, lexicon.known(left + following + piece)) or lexicon.known(left + following + piece) < 3):
             break
-        following += stream[j][2]
+        following += stream[j][1]
         tail_at, right = _core(following)
         whole = lexicon.joined(left, right) if tail_at == 0 else None
         if whole is None and chunk[-1] in "­¬" and right:
@@ -426,19 +477,19 @@ def _broken(stream: list[tuple[int, int, str]], i: int, at: int, left: str, lexi
     return found
 
 
-def _torn(stream: list[tuple[int, int, str]], i: int, lexicon: Lexicon) -> list[tuple[int, float, str, bool, bool, int | None]]:
+def _torn(stream: list[tuple[int, str]], i: int, lexicon: Lexicon) -> list[tuple[int, float, str, bool, bool, int | None]]:
     """Readings of chunks of one line as one word, if none of them is known but all together are."""
-    k, _, chunk = stream[i]
-    if chunk in lexicon.counts or len(chunk) < 2 or _core(chunk)[1] != chunk or lexicon.known(chunk) >= KNOWN_LEAST or is_code(chunk) or lexicon.fixed(chunk) != chunk:
+    k, chunk = stream[i]
+    if not lexicon.may_be_torn(chunk):
         return []
     found, word, j = [], chunk, i + 1
-    while j < len(stream) and stream[j][0] == k and len(word) <= 60:
-        at, right = _core(stream[j][2])
+    while j < len(stream) and stream[j][0] == k and len(word) <= lexicon.longest:
+        at, right = _core(stream[j][1])
         if at or len(right) < 2 or lexicon.known(right) >= KNOWN_LEAST:
             break
         if lexicon.known(word + right) >= 3:
-            found.append((j + 1, lexicon.cost(word + right) + (j - i) * TORN_COST, word + stream[j][2], False, False, None))
-        if right != stream[j][2]:
+            found.append((j + 1, lexicon.cost(word + right) + (j - i) * TORN_COST, word + stream[j][1], False, False, None))
+        if right != stream[j][1]:
             break
         word += right
         j += 1
@@ -482,11 +533,33 @@ def paragraphs(lines: list[tuple[int, str, bool]]) -> list[list[tuple[int, str,
     return [[x for x, _ in kept[a:b]] for a, b in reversed(cuts)]
 
 
+def page_words(content: str) -> list[str]:
+    """Words of a page; both parts of words broken at a line's end are left out."""
+    kept, drop = [], False
+    for line in content.split("\n"):
+        if drop and line.strip():
+            line, drop = line.split(None, 1)[1] if len(line.split(None, 1)) > 1 else "", False
+        if len(line) > 1 and line[-1] in BREAK_SIGNS and not line[-2].isspace():
+            line, drop = line[: max(line.rfind(x) for x in (" ", "\t", "\u00a0", "\u3000")) + 1], True
+        kept.append(line)
+    return _WORDS.findall("\n".join(kept))
+
+
 def word_counts(pages: DataFrame, text: str = "page_content") -> DataFrame:
-    """``(word, n)`` over all pages; both parts of words broken at a line's end are left out."""
-    whole = F.regexp_replace(F.col(text), rf"\S+[{BREAK_SIGNS}]\n\s*\S+", " ")
-    words = F.explode(F.regexp_extract_all(whole, F.lit(_WORDS_SQL), F.lit(0))).alias("word")
-    return pages.where(F.col(text).isNotNull()).select(words).where(F.length("word") <= 60).groupBy("word").agg(F.count("*").alias("n"))
+    """``(word, n)`` over all pages, counted in each batch first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: Counter = Counter()
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                count.update(page_words(content))
+            if len(count) >= COUNTED_WORDS:
+                yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], names=["word", "n"])
+                count.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], names=["word", "n"])
+
+    counted = spread(pages.where(F.col(text).isNotNull()).select(text)).mapInArrow(run, "word string, n bigint")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def known_words(pages: DataFrame, text: str = "page_content") -> dict[str, int]:
@@ -497,8 +570,8 @@ def known_words(pages: DataFrame, text: str = "page_content") -> dict[str, int]:
 
 
 def _lines_udf(texts: pa.Array, pages: pa.Array) -> pa.Array:
-    kind = pa.list_(pa.struct([("line_no", pa.int32()), ("skeleton", pa.string()), ("place", pa.int32()), ("rest", pa.int32()), ("number", pa.bool_()), ("head", pa.string()), ("broken", pa.bool_()), ("outer", pa.bool_())]))
-    names = ("line_no", "skeleton", "place", "rest", "number", "head", "broken", "outer")
+    kind = pa.list_(pa.struct([("line_no", pa.int32()), ("skeleton", pa.int64()), ("place", pa.int32()), ("rest", pa.int32()), ("head", pa.string()), ("broken", pa.bool_()), ("outer", pa.bool_())]))
+    names = ("line_no", "skeleton", "place", "rest", "head", "broken", "outer")
     return pa.array([[dict(zip(names, x)) for x in page_lines(t, p)] if t else [] for t, p in zip(texts.to_pylist(), pages.to_pylist())], kind)
 
 
@@ -506,17 +579,20 @@ def page_frames(pages: DataFrame, key: str = "page_key", file: str = "file_id",
     """``(<key>, header_lines, next_head)``: which lines of a page are headers, and the first word of the running text of the next page.
 
     The outermost lines of the pages are looked at first, then those that headers
-    found so far leave outermost, until no page has another one.
+    found so far leave outermost, until no page has another one.  A page is one row
+    with all its lines, so that each round joins pages and takes only edge lines out.
     """
-    lines = spread(pages.where(F.col(text).isNotNull()).select(key, file, page, text)).select(F.col(key).alias("_key"), F.col(file).alias("_file"), F.col(page).alias("_page"), F.explode(F.arrow_udf(_lines_udf, LINES_TYPE)(text, F.col(page).cast("int"))).alias("_l"))
-    lines = durable(lines.select("_key", "_file", "_page", "_l.*").where("not number").drop("number"))
-    every = lines.where("skeleton <> ''").groupBy("_file", "skeleton", "_page").agg(F.count("*").alias("_n")).groupBy("_file", "skeleton").agg(F.count("*").alias("_all"), F.sum("_n").alias("_all_lines"))
-    size = lines.select("_file", "_page").distinct().groupBy("_file").agg(F.count("*").alias("_size"))
+    spread_pages = spread(pages.where(F.col(text).isNotNull()).select(key, file, page, text))
+    sheets = durable(spread_pages.select(F.col(key).alias("_key"), F.col(file).alias("_file"), F.col(page).alias("_page"), F.arrow_udf(_lines_udf, LINES_TYPE)(text, F.col(page).cast("int")).alias("_lines")))
+    bones = sheets.select("_file", "_page", F.explode("_lines.skeleton").alias("skeleton")).where("skeleton is not null")
+    every = bones.groupBy("_file", "skeleton", "_page").agg(F.count("*").alias("_n")).groupBy("_file", "skeleton").agg(F.count("*").alias("_all"), F.sum("_n").alias("_all_lines"))
+    size = sheets.where(F.size("_lines") > 0).select("_file", "_page").distinct().groupBy("_file").agg(F.count("*").alias("_size"))
     repeated = durable(every.where(f"_all >= {HEADER_PAGES}").join(size, "_file"))
-    depth = lines.groupBy("_key").agg(F.lit(0).alias("_top"), F.lit(0).alias("_bottom"))
+    depth = sheets.where(F.size("_lines") > 0).select("_key", F.lit(0).alias("_top"), F.lit(0).alias("_bottom"))
     found, before = None, 0
     while True:
-        edge = lines.join(depth, "_key").where("place <= _top or rest <= _bottom")
+        at_edge = F.filter("_lines", lambda x: (x["place"] <= F.col("_top")) | (x["rest"] <= F.col("_bottom")))
+        edge = sheets.join(depth, "_key").select("_key", "_file", "_page", "_top", "_bottom", F.explode(at_edge).alias("_l")).select("_key", "_file", "_page", "_top", "_bottom", "_l.*")
         new = _headers(edge, repeated, found is not None).withColumn("_inner", F.lit(found is not None))
         found = durable(new if found is None else found.unionByName(new).groupBy("_file", "skeleton").agg(F.max("_inner").alias("_inner")))
         edge = durable(edge.join(found.withColumn("header", F.lit(True)), ["_file", "skeleton"], "left").withColumn("header", F.coalesce("header", F.lit(False)) & F.col("outer") & (F.col("_inner") | F.expr("place = 0 or rest = 0"))))
@@ -550,7 +626,7 @@ def _headers(edge: DataFrame, repeated: DataFrame, inner: bool) -> DataFrame:
         ends_open = edge.where("broken and rest = _bottom").select("_file", (F.col("_page") + 1).alias("_page")).distinct().withColumn("_open", F.lit(True))
         small = F.substring("head", 1, 1) != F.upper(F.substring("head", 1, 1))
         edge = edge.join(ends_open, ["_file", "_page"], "left").where(~(F.col("broken") & (F.col("rest") == F.col("_bottom"))) & ~(F.coalesce("_open", F.lit(False)) & small & (F.col("place") == F.col("_top"))))
-    ends = edge.where("skeleton <> ''").withColumns({"_at_top": (F.col("place") <= F.col("_top")).cast("int"), "_at_bottom": (F.col("rest") <= F.col("_bottom")).cast("int")})
+    ends = edge.where("skeleton is not null").withColumns({"_at_top": (F.col("place") <= F.col("_top")).cast("int"), "_at_bottom": (F.col("rest") <= F.col("_bottom")).cast("int")})
     ends = ends.join(repeated.select("_file", "skeleton"), ["_file", "skeleton"], "left_semi").groupBy("_file", "skeleton", "_page").agg(F.max("_at_top").alias("_at_top"), F.max("_at_bottom").alias("_at_bottom"), F.count("*").alias("_lines"))
     steps = F.array(*[F.lit(d) for d in range(-HEADER_NEAR, HEADER_NEAR + 1) if d])
     near = ends.select("_file", "skeleton", F.explode(F.transform(steps, lambda d: (F.col("_page") + d))).alias("_page")).distinct().withColumn("_near", F.lit(1))
@@ -566,15 +642,15 @@ def _with_frames(pages: DataFrame, key: str, file: str, page: str, text: str) ->
     return spread(pages.where(F.col(text).isNotNull()).select(key, file, page, text)).join(frames, key)
 
 
-_lexicons: dict[int, Lexicon] = {}
+_lexicons: list[tuple[object, Lexicon]] = []
 
 
 def _lexicon(shared) -> Lexicon:
+    """The lexicon of broadcast counts, made once in each worker; the counts are kept, so others are never taken for them."""
     value = shared.value
-    if id(value) not in _lexicons:
-        _lexicons.clear()
-        _lexicons[id(value)] = Lexicon(value)
-    return _lexicons[id(value)]
+    if not _lexicons or _lexicons[0][0] is not value:
+        _lexicons[:] = [(value, Lexicon(value))]
+    return _lexicons[0][1]
 
 
 def find_noise(pages: DataFrame, key: str = "page_key", file: str = "file_id", page: str = "page_no", text: str = "page_content") -> DataFrame:

@@ -113,3 +113,25 @@ def test_rare_words_are_known_at_any_size(spark):
 def test_a_long_paragraph_is_not_cut():
     lines = [(k, f"the backup job {'x' * 40} reported", True) for k in range(300)]
     assert [len(p) for p in scans.paragraphs(lines)] == [300]
+
+
+def test_misreadings_of_very_common_words_are_judged_by_ratio_alone():
+    counts = {"the": 20_000, "tbe": 120, "server": 900}
+    assert scans.Lexicon(counts).fixed("tbe") == "the"
+    assert scans.Lexicon({k: 1000 * n for k, n in counts.items()}).fixed("tbe") == "the"
+    assert scans.Lexicon(counts | {"tbe": 12_000}).fixed("tbe") == "tbe"
+
+
+def test_long_words_and_long_number_lines():
+    long = "hydro" * 30
+    assert scans.Lexicon({long + "m": 50, "x": 5}).fixed(long + "rn") == long + "m"
+    assert scans.page_number("- - - - - -  Seite  7  von  12  - - - - - -", 7) and not scans.page_number("seven words are no number of a page 7 " * 40, 7)
+    assert scans.page_words("one two-\nthree four\nfive") == ["one", "four", "five"] and scans.page_words("") == []
+
+
+def test_lines_decoded_alone_read_as_in_one_stream(monkeypatch):
+    counts = {w: 100 for w in "the backup server starts every night and writes files to disk".split()}
+    text = "the backup server starts\nevery nig-\nht and wri tes files\nto disk tbe backupserver\nnight-\n"
+    fast = scans.decode(text, set(), None, 1, scans.Lexicon(counts))
+    monkeypatch.setattr(scans.Lexicon, "alone", lambda self, chunk: None)
+    assert scans.decode(text, set(), None, 1, scans.Lexicon(counts)) == fast
