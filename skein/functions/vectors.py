@@ -35,3 +35,8 @@ def softmax(a: Column) -> Column:
     top = F.array_max(a)
     powers = F.transform(a, lambda x: F.exp(x - top))
     return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda s, y: s + y))
+
+
+def flattened(a: Column) -> Column:
+    """A vector that lies in a list of its own, without that list."""
+    return F.flatten(a)

@@ -27,37 +27,71 @@ def valid_rows(rows: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
 def exact_or_prefix(rows: DataFrame, names: DataFrame, column: str, name: str = "name", prefix: str = "prefix") -> DataFrame:
     """Each name with the rows that equal it, else with those that begin with its ``prefix``.
 
-    The prefix join is an equi-join on the first characters, as many as the
-    shortest prefix has, so it shuffles on a key instead of comparing everything.
+    The prefix join is an equi-join: a row is looked up once for each length that
+    prefixes have.  An empty prefix matches every row with a text, a null one none.
     """
     exact = names.join(rows, F.col(column) == F.col(name))
-    rest = names.join(rows.select(F.col(column).alias("_c")).distinct(), F.col("_c") == F.col(name), "left_anti")
-    short = rest.agg(F.coalesce(F.min(F.length(prefix)), F.lit(0)).alias("_n")).first()["_n"]
-    left = rest.withColumn("_h", F.substring(prefix, 1, short))
-    right = rows.withColumn("_h", F.substring(column, 1, short))
-    by_prefix = left.join(right, "_h").where(F.startswith(F.col(column), F.col(prefix))).drop("_h")
-    return exact.withColumn("match", F.lit("exact")).unionByName(by_prefix.withColumn("match", F.lit("prefix")))
+    rest = names.join(rows.select(F.col(column).alias("_c")).distinct(), F.col("_c") == F.col(name), "left_anti").where(F.col(prefix).isNotNull())
+    sizes = sorted(r[0] for r in rest.select(F.length(prefix)).distinct().collect())
+    heads = F.array(*[F.when(F.length(column) >= n, F.substring(column, 1, n)) for n in sizes]) if sizes else F.array().cast("array<string>")
+    looked = rows.withColumn("_h", F.explode(F.array_compact(heads)))
+    by_prefix = _checked(rest).withColumn("_h", F.col(prefix)).join(looked, "_h").drop("_h")
+    return exact.withColumn("match", F.lit("exact")).unionByName(by_prefix.select(*exact.columns).withColumn("match", F.lit("prefix")))
+
+
+def _checked(side: DataFrame, most: int = 100_000) -> DataFrame:
+    """A side of a join with a hint to broadcast it, if it has at most so many rows."""
+    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], ts: str, value: str, within_seconds: int, tie: str) -> DataFrame:
     """Each left row with the latest right row of the same ``by`` at or before it, at most so long ago.
 
-    Both sides are cut into time buckets as wide as the tolerance: a left row meets
-    only its own bucket and the one before, so no key is sorted as a whole.  Adds
-    ``<value>_asof`` and ``age_seconds``, null without a match.
+    Both sides are put in one order within time buckets as wide as the tolerance, and
+    the last right row is carried on; a left row without one in its bucket takes the
+    last of the bucket before.  So no key is sorted as a whole, no pairs are made,
+    and equal left rows stay as many as they were.  Adds ``<value>_asof`` and
+    ``age_seconds``, null without a match; null keys and times match nothing.
+    """
+    most = within_seconds * 1_000_000
+    keys = [f"_k{i}" for i in range(len(by))]
+    kinds = dict(right.select(F.col(tie).alias("_tie"), F.col(value).alias("_value")).dtypes)
+    row = F.struct(*left.columns)
+    kind_of_row = left.select(row.alias("_row")).dtypes[0][1]
+    named = [F.col(b).alias(k) for b, k in zip(by, keys)]
+    now = left.select(*named, micros(F.col(ts)).alias("_us"), F.lit(1).alias("_side"), *[F.lit(None).cast(kinds[c]).alias(c) for c in ("_tie", "_value")], row.alias("_row"))
+    past = right.where(F.col(ts).isNotNull()).select(*named, micros(F.col(ts)).alias("_us"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), F.col(value).alias("_value"), F.lit(None).cast(kind_of_row).alias("_row"))
+    bucket = F.floor(F.col("_us") / most)
+    found = F.struct("_us", "_tie", "_value")
+    order = W.partitionBy(*keys, "_bucket").orderBy("_us", "_side", "_tie").rowsBetween(W.unboundedPreceding, 0)
+    inside = F.last(F.when(F.col("_side") == 0, found), True).over(order)
+    ends = past.groupBy(*keys, (bucket + 1).alias("_bucket")).agg(F.max(found).alias("_before"))
+    asked = now.unionByName(past).withColumn("_bucket", bucket).withColumn("_inside", inside).where("_side = 1").join(ends, [*keys, "_bucket"], "left")
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    best = F.when(known & F.col("_us").isNotNull(), F.coalesce("_inside", "_before"))
+    near = asked.select("_row", "_us", best.alias("_b")).withColumn("_b", F.when(F.col("_us") - F.col("_b._us") <= most, F.col("_b")))
+    return near.select("_row.*", F.col("_b._value").alias(f"{value}_asof"), ((F.col("_us") - F.col("_b._us")) / 1_000_000).alias("age_seconds"))
+
+
+def running(rows: DataFrame, by: list[str], ts: str, tie: str, value: str, cell: str = "day") -> DataFrame:
+    """``rows`` with ``running_sum``, ``running_count`` and ``running_avg`` of ``value`` over the rows of a key so far.
+
+    The sums of whole cells of time are carried on from cell to cell, so a task
+    orders one cell of a key and never the key as a whole.
     """
-    bucket = lambda c: F.floor(micros(c) / (within_seconds * 1_000_000))
-    past = right.select(*[F.col(b).alias(f"_{b}") for b in by], F.col(ts).alias("_ts"), F.col(tie).alias("_tie"), F.col(value).alias("_value"), F.explode(F.array(bucket(F.col(ts)), bucket(F.col(ts)) + 1)).alias("_bucket"))
-    now = left.withColumn("_bucket", bucket(F.col(ts))).withColumn("_row", F.struct(*left.columns))
-    gap = micros(F.col(ts)) - micros(F.col("_ts"))
-    same = [now[b] == past[f"_{b}"] for b in by] + [now["_bucket"] == past["_bucket"]]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    met = now.join(past, cond & (gap >= 0) & (gap <= within_seconds * 1_000_000), "left")
-    best = met.groupBy("_row").agg(F.max(F.when(F.col("_ts").isNotNull(), F.struct("_ts", "_tie", "_value"))).alias("_b"))
-    age = (micros(F.col(f"_row.{ts}")) - micros(F.col("_b._ts"))) / 1_000_000
-    return best.select("_row.*", F.col("_b._value").alias(f"{value}_asof"), age.alias("age_seconds"))
+    cut = rows.withColumn("_cell", F.date_trunc(cell, F.col(ts)))
+    totals = cut.groupBy(*by, "_cell").agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    before = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    carried = totals.select(*[F.col(b).alias(f"_{b}") for b in by], F.col("_cell").alias("_c"), F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
+    here = W.partitionBy(*by, "_cell").orderBy(ts, tie).rowsBetween(W.unboundedPreceding, 0)
+    own = cut.withColumn("_own_s", F.coalesce(F.sum(value).over(here), F.lit(0.0))).withColumn("_own_n", F.count(value).over(here))
+    same = F.col("_cell").eqNullSafe(F.col("_c"))
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_{b}"))
+    summed = own.join(carried, same).withColumn("running_sum", F.col("_s") + F.col("_own_s")).withColumn("running_count", F.col("_n") + F.col("_own_n"))
+    return summed.withColumn("running_avg", F.try_divide("running_sum", "running_count")).select(*rows.columns, "running_sum", "running_count", "running_avg")
 
 
 def two_hops(nodes: DataFrame, first: DataFrame, second: DataFrame, key: str, mid: str, leaf: str) -> DataFrame:
@@ -113,15 +147,16 @@ def retained(rows: DataFrame, ts: str, now: Column, days: int) -> DataFrame:
 def batches(rows: DataFrame, order: str, size: int, count: int | None = None) -> DataFrame:
     """``batch_no`` from 0 by the order of a unique number.
 
-    Ranks come from the counts of coarse ranges of the number, summed up, so no
-    single task numbers all rows.
+    Ranks come from the counts of ranges of the number that hold about as many rows,
+    summed up, so no single task numbers all rows, whatever outliers there are.
     """
-    bounds = rows.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("n")).first()
-    if not bounds["n"]:
+    n = rows.count()
+    if not n:
         return rows.withColumn("batch_no", F.lit(0).cast("bigint"))
-    parts = count or max(1, bounds["n"] // 100_000 + 1)
-    width = max(1, -(-(bounds["hi"] - bounds["lo"] + 1) // parts))
-    cell = F.floor((F.col(order) - bounds["lo"]) / width)
+    parts = min(count or n // 100_000 + 1, 1024)
+    # Bounds near equal counts, however the numbers lie; ranks are exact for any bounds.
+    marks = sorted(set(rows.approxQuantile(order, [k / parts for k in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
+    cell = F.size(F.filter(F.array(*[F.lit(float(m)) for m in marks]), lambda m: m <= F.col(order))) if marks else F.lit(0)
     cut = rows.withColumn("_cell", cell)
     before = F.coalesce(F.sum("_n").over(W.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = cut.groupBy("_cell").agg(F.count("*").alias("_n")).select("_cell", before.alias("_before"))

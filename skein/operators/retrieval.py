@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..functions.predicates import where
 
-#: Most rows of a query set that is broadcast.
+#: Digits to which products of matrices agree however they are cut into blocks.
+SIM_DIGITS = 12
+#: Queries that a worker holds at a time.
 QUERY_ROWS = 10_000
 
 
-def _small(queries: DataFrame) -> DataFrame:
-    return F.broadcast(queries) if queries.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS else queries
-
-
 def top_k(rows: DataFrame, query: list[float] | Column, k: int, vector: str = "embedding", tie: str = "vec_id", rule: dict | None = None) -> DataFrame:
     """The ``k`` rows nearest to one vector by cosine, with ``sim``; the filter goes to the scan before.
 
@@ -32,15 +36,61 @@ def top_k(rows: DataFrame, query: list[float] | Column, k: int, vector: str = "e
 def top_k_each(queries: DataFrame, rows: DataFrame, k: int, query_key: str, key: str, query_vector: str = "query_vector", vector: str = "embedding") -> DataFrame:
     """For each query its ``k`` nearest rows: ``(<query_key>, <key>, sim, rank)``.
 
-    The query set is stated and bounded; it is compared with all rows where they
-    lie.  Each partition keeps only its own best ``k`` for a query before the
-    shuffle.
+    The query set is stated; it is sent to the workers in blocks of ``QUERY_ROWS``
+    and compared with all rows where they lie, by products of matrices.  Of a
+    partition only the best ``k`` for each query are shuffled.  A place that a
+    vector lacks counts as 0; vectors of zeros and null ones are near nothing.
     """
-    pairs = rows.select(key, vector).join(_small(queries.select(query_key, query_vector)), F.lit(True)).select(query_key, key, vx.cosine(F.col(query_vector), F.col(vector)).alias("sim")).where("sim is not null")
-    near = W.partitionBy(query_key, "_part").orderBy(F.desc("sim"), key)
-    local = pairs.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(64))).withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= k)
+    schema = T.StructType([queries.schema[query_key], rows.schema[key], T.StructField("sim", T.DoubleType())])
+    names = [f.name for f in schema.fields]
+
+    def search(part: list[tuple]) -> DataFrame:
+        shared = rows.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked = [q for q in shared.value if q[1]]
+            matrix = _unit([q[1] for q in asked])
+            live = np.flatnonzero(matrix.any(1))
+            best_sims, best_keys = np.zeros((len(live), 0)), np.zeros((len(live), 0), object)
+            for batch in batches if len(live) else ():
+                keys = np.array(batch.column(0).to_pylist(), object)
+                unit = _unit(batch.column(1).to_pylist())
+                near = np.flatnonzero(unit.any(1))
+                wide = min(unit.shape[1], matrix.shape[1])
+                sims = np.concatenate([best_sims, np.round(matrix[live, :wide] @ unit[near, :wide].T, SIM_DIGITS)], 1)
+                of = np.concatenate([best_keys, np.broadcast_to(keys[near], (len(live), len(near)))], 1)
+                if sims.shape[1] > k:  # all that is as near as the k-th stays until the ties are settled
+                    least = np.partition(sims, sims.shape[1] - k, 1)[:, sims.shape[1] - k]
+                    order = [sorted(np.flatnonzero(row >= at), key=lambda j, row=row, own=own: (-row[j], own[j]))[:k] for row, own, at in zip(sims, of, least)]
+                    order = np.array(order, int).reshape(len(live), -1)
+                    sims, of = np.take_along_axis(sims, order, 1), np.take_along_axis(of, order, 1)
+                best_sims, best_keys = sims, of
+            many = best_sims.shape[1]
+            out = [[asked[q][0] for q in live for _ in range(many)], best_keys.ravel().tolist(), best_sims.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=names)
+
+        kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+        return rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, schema)
+
+    found, block = None, []
+    for q in queries.where(F.col(query_vector).isNotNull()).select(query_key, query_vector).toLocalIterator():
+        if len(block) == QUERY_ROWS:
+            found, block = search(block) if found is None else found.unionByName(search(block)), []
+        block.append((q[0], list(q[1])))
+    found = search(block) if found is None else found.unionByName(search(block))
     best = W.partitionBy(query_key).orderBy(F.desc("sim"), key)
-    return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(query_key, key, "sim", "rank")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(query_key, key, "sim", "rank")
+
+
+def _unit(vectors: list[list[float] | None]) -> np.ndarray:
+    """Vectors as rows of length 1, or of zeros where there is no direction."""
+    wide = max((len(v) for v in vectors if v), default=0)
+    out = np.zeros((len(vectors), wide))
+    for at, v in enumerate(vectors):
+        if v:
+            out[at, : len(v)] = [0.0 if x is None else x for x in v]
+    length = np.sqrt((out * out).sum(1))
+    return out / np.where(length > 0, length, 1)[:, None]
 
 
 def keep_first(rows: DataFrame, keys: list[str | Column], order: list[str | Column]) -> DataFrame:

@@ -38,10 +38,14 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import more  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import more  # noqa: F401
+
     return dict(SQL)
 
 
@@ -165,11 +169,17 @@ def snippet_keyword(t):
     return t("documents").where("text is not null").select("doc_id", tx.snippet(F.col("text"), F.lit("catalog server")).alias("snippet"))
 
 
-@_query("""WITH s AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, list_distinct(string_split(lower(""" + _squeezed("text") + """), ' ')[1:100]) AS w FROM documents WHERE text IS NOT NULL),
-p AS (SELECT a.source, len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) AS j FROM s a JOIN s b ON a.source = b.source AND a.doc_id < b.doc_id WHERE a.r <= 10 AND b.r <= 10)
-SELECT d.source, round(1 - coalesce(avg(p.j), 0), 6) AS diversity FROM (SELECT DISTINCT source FROM s WHERE source IS NOT NULL) d LEFT JOIN p ON p.source = d.source GROUP BY d.source""")
-def diversity_by_source(t):
-    return corpus.diversity(t("documents").where("source is not null"), "source", "doc_id", "text").select("source", _r(F.col("diversity")).alias("diversity"))
+_HITS = "(" + " + ".join(f"(CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END)" for w in FLAGSHIP_QUESTION.split()) + ")"
+
+
+@_query("""WITH s AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY """ + _HITS + """ DESC, doc_id) AS r, list_distinct(string_split(lower(""" + _squeezed("text") + """), ' ')) AS w FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+t AS (SELECT * FROM s WHERE r <= 10),
+p AS (SELECT a.source, len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) AS j FROM t a JOIN t b ON a.source = b.source AND a.doc_id < b.doc_id)
+SELECT d.source, round(1 - coalesce(avg(p.j), 0), 6) AS diversity FROM (SELECT DISTINCT source FROM t) d LEFT JOIN p ON p.source = d.source GROUP BY d.source""")
+def diversity_of_results(t):
+    docs = retrieval.term_hits(t("documents").where("source is not null and text is not null"), retrieval.query_terms(FLAGSHIP_QUESTION))
+    top = retrieval.best_each(docs.select("source", "doc_id", "text", "hits"), "source", "doc_id", "hits", 10)
+    return corpus.diversity(top, "source", "doc_id", "text").select("source", _r(F.col("diversity")).alias("diversity"))
 
 
 @_query()
@@ -260,25 +270,39 @@ def legible_pages(t):
     return t("scanned_pages").where(tx.keep_legible(F.col("page_content"), 0.75) != "").select("page_key")
 
 
-@_query("""SELECT chunk_key, CASE WHEN contains(lower(page_content), 'error') OR contains(lower(page_content), 'exception') OR contains(lower(page_content), 'failed') OR contains(lower(page_content), 'warning') OR contains(page_content, '오류') OR contains(page_content, '실패') THEN 'error_log'
- WHEN contains(lower(page_content), 'step') OR contains(lower(page_content), 'procedure') OR contains(lower(page_content), 'install') OR contains(lower(page_content), 'configure') OR contains(page_content, '단계') OR contains(page_content, '절차') THEN 'procedure' ELSE 'other' END AS kind FROM chunks""")
-def chunk_keyword_class(t):
-    kind = tx.chunk_class(F.col("page_content"))["chunk_type"]
-    return t("chunks").select("chunk_key", F.when(kind.isin("error_log", "procedure"), kind).otherwise("other").alias("kind"))
+def _any(words: list[str], sql: str) -> str:
+    return "(" + " OR ".join(f"contains({sql}, '{w}')" for w in words) + ")"
 
 
-@_query()
+def _patterns(patterns: list[str], flags: str) -> str:
+    """Alternatives as one pattern for DuckDB, with the word characters and digits of Unicode."""
+    joined = "|".join(f"(?:{p})" for p in patterns).replace("[\\d\\w]", r"[\p{L}\p{M}\p{N}_\x{200C}\x{200D}]").replace("[\\da-zA-Z]", r"[\p{Nd}a-zA-Z]").replace(r"\d", r"\p{Nd}").replace(r"\s", SB)
+    joined = joined.replace(r"\b(", r"(?:^|[^\p{L}\p{M}\p{N}_])(").replace(r")\b", r")(?:$|[^\p{L}\p{M}\p{N}_])")
+    return f"({flags})" + joined
+
+
+_MARKERS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(page_content, '{_patterns(p, '?im')}') THEN '{name}' END" for name, p in tx.STRUCTURE.items()) + "], lambda m: m IS NOT NULL)"
+_CLASS = f"CASE WHEN {_any(tx.ERROR_WORDS, 'lower(page_content)')} THEN 'error_log' WHEN {_any(tx.PROCEDURE_WORDS, 'lower(page_content)')} THEN 'procedure' WHEN len({_MARKERS}) > 0 THEN 'structured_content' WHEN {_any(tx.TECHNICAL_SIGNS, 'page_content')} THEN 'technical_content' WHEN len(list_filter(string_split({_squeezed('page_content')}, ' '), lambda w: w <> '')) < 50 THEN 'summary' ELSE 'general_content' END"
+_SURE = "CASE kind WHEN 'error_log' THEN 0.9 WHEN 'procedure' THEN 0.8 WHEN 'structured_content' THEN 0.8 WHEN 'technical_content' THEN 0.7 WHEN 'summary' THEN 0.6 ELSE 0.5 END::DOUBLE"
+
+
+@_query(f"WITH k AS (SELECT chunk_key, {_CLASS} AS kind, {_MARKERS} AS markers FROM chunks WHERE page_content IS NOT NULL) SELECT chunk_key, kind AS found_type, {_SURE} AS found_confidence, array_to_string(markers, ',') AS markers FROM k")
 def chunk_class(t):
     c = tx.chunk_class(F.col("page_content"))
-    return t("chunks").select("chunk_key", c["chunk_type"].alias("found_type"), c["confidence"].alias("found_confidence"), tx.structure_markers(F.col("page_content")).alias("markers"))
+    rows = t("chunks").where("page_content is not null")
+    return rows.select("chunk_key", c["chunk_type"].alias("found_type"), c["confidence"].alias("found_confidence"), F.array_join(tx.structure_markers(F.col("page_content")), ",").alias("markers"))
 
 
-@_query()
+@_query("WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents) SELECT doc_id, round(list_sum(list_transform(l, lambda x: " + " + ".join(f"regexp_matches(x, '{_patterns(p, '?i')}')::INT" for p in tx.STRUCTURE.values()) + "))::DOUBLE / nullif(len(l), 0), 6) AS ratio FROM l")
 def line_structure_ratio(t):
     return t("documents").select("doc_id", _r(tx.structure_ratio(F.col("text"))).alias("ratio"))
 
 
-@_query()
+_LAST = "CASE WHEN contains(t, {m}) THEN length(regexp_extract(t, '(?s)^(.*)' || {m}, 1)) ELSE -1 END"
+_STOPS = ", ".join(_LAST.replace("|| {m}", "|| '[" + m[0] + "] '").format(m=f"'{m}'") for m in (". ", "! ", "? "))
+
+
+@_query(f"WITH a AS (SELECT chunk_key, page_content AS x, CASE WHEN length(page_content) <= 200 THEN page_content ELSE right(page_content, 200) END AS t FROM chunks), b AS (SELECT *, greatest({_STOPS}) AS stop, {_LAST.format(m='chr(10) || chr(10)')} AS para, {_LAST.format(m=repr(' '))} AS word FROM a) SELECT chunk_key, CASE WHEN length(x) <= 200 THEN x ELSE substring(t, (CASE WHEN stop > 0.3 * length(t) THEN stop + 2 WHEN para > 0.2 * length(t) THEN para + 2 WHEN word > 0.1 * length(t) THEN word + 1 ELSE 0 END) + 1) END AS tail FROM b")
 def overlap_tail(t):
     return t("chunks").select("chunk_key", tx.overlap_tail(F.col("page_content"), 200).alias("tail"))
 
@@ -377,18 +401,21 @@ def structure_stats(t):
     return corpus.structure_stats(t("documents")).withColumn("avg_length", _r(F.col("avg_length"))).withColumn("avg_sentences", _r(F.col("avg_sentences"))).withColumn("list_patterns", F.col("list_patterns").cast("bigint")).withColumn("code_patterns", F.col("code_patterns").cast("bigint"))
 
 
-@_query("WITH h AS (SELECT unnest(regexp_extract_all(text, '(?m)^[A-Z][^.!?\\n]*:$')) AS header FROM documents) SELECT header, count(*) AS n FROM h GROUP BY header ORDER BY n DESC, header LIMIT 5")
+@_query("WITH d AS (SELECT regexp_replace(page_content, '[.!?]+$', ':') AS text FROM chunks), h AS (SELECT unnest(regexp_extract_all(text, '(?m)^[A-Z][^.!?\\n]*:$')) AS header FROM d) SELECT header, count(*) AS n FROM h GROUP BY header ORDER BY n DESC, header LIMIT 5")
 def section_headers_top5(t):
-    return corpus.section_headers(t("documents"))
+    headed = t("chunks").select(F.regexp_replace("page_content", r"[.!?]+$", ":").alias("text"))
+    return corpus.section_headers(headed)
 
 
 # Relational
 
 
-@_query("SELECT DISTINCT r.resolve_id, r.client_nm, r.os_version_id, e.error_code_nm, c.chunk_key FROM resolve r JOIN error_code e USING (error_code_id) JOIN chunks c ON c.error_code_id = e.error_code_id AND c.member_id = 7 WHERE e.error_code_id <= 10")
+@_query("""WITH c AS (SELECT error_code_id, count(*) AS pieces, min(chunk_key) AS first_piece, count(DISTINCT document_id) AS documents FROM chunks GROUP BY 1)
+SELECT DISTINCT r.resolve_id, r.client_nm, r.os_version_id, e.error_code_nm, coalesce(c.pieces, 0) AS pieces, c.first_piece, coalesce(c.documents, 0) AS documents FROM resolve r JOIN error_code e USING (error_code_id) LEFT JOIN c USING (error_code_id)""")
 def report_join(t):
-    codes = t("error_code").where("error_code_id <= 10")
-    return t("resolve").join(codes, "error_code_id").join(t("chunks").where("member_id = 7"), "error_code_id").select("resolve_id", "client_nm", "os_version_id", "error_code_nm", "chunk_key").distinct()
+    pieces = t("chunks").groupBy("error_code_id").agg(F.count("*").alias("pieces"), F.min("chunk_key").alias("first_piece"), F.countDistinct("document_id").alias("documents"))
+    joined = t("resolve").join(t("error_code"), "error_code_id").join(pieces, "error_code_id", "left").na.fill(0, ["pieces", "documents"])
+    return joined.select("resolve_id", "client_nm", "os_version_id", "error_code_nm", "pieces", "first_piece", "documents").distinct()
 
 
 @_query("SELECT l_orderkey, l_linenumber, o_orderpriority, p_brand, s_name, count(*) AS lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderstatus = 'F' AND p_size < 10 GROUP BY ALL")
@@ -423,18 +450,19 @@ def new_ids_anti(t):
     return relational.new_rows(t("chunks").select("chunk_key", "id"), t("chunks").where("source = 'upload'"), ["id"])
 
 
-@_query("""WITH a AS (SELECT r_name, n_name, c_custkey FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey WHERE c_custkey < 500) SELECT r_name, n_name, count(DISTINCT c_custkey) AS leaves FROM a GROUP BY ALL""")
+@_query("""WITH a AS (SELECT r_name, n_name, c_custkey FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey) SELECT r_name, n_name, count(DISTINCT c_custkey) AS leaves FROM a GROUP BY ALL""")
 def graph_two_hop(t):
     first = t("region").join(t("nation"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name")
-    second = t("nation").join(t("customer").where("c_custkey < 500"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "c_custkey")
+    second = t("nation").join(t("customer"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "c_custkey")
     nested = relational.two_hops(t("region"), first, second, "r_name", "n_name", "c_custkey")
     flat = nested.select("r_name", F.explode("neighbours").alias("x")).select("r_name", "x.n_name", F.size("x.leaves").cast("bigint").alias("leaves"))
     return flat.where("leaves > 0")
 
 
-@_query("""SELECT e.event_id, e.user_id, p.value AS value_asof FROM (SELECT * FROM events WHERE event_type = 'error') e LEFT JOIN LATERAL (SELECT value FROM events q WHERE q.event_type = 'click' AND q.user_id = e.user_id AND q.ts <= e.ts AND q.ts >= e.ts - INTERVAL 6 HOUR ORDER BY q.ts DESC, q.event_id DESC LIMIT 1) p ON true""")
+@_query("""SELECT e.event_id, e.user_id, p.value AS value_asof FROM (SELECT * FROM events WHERE event_type = 'error' UNION ALL SELECT * FROM events WHERE event_type = 'error') e LEFT JOIN LATERAL (SELECT value FROM events q WHERE q.event_type = 'click' AND q.user_id = e.user_id AND q.ts <= e.ts AND q.ts >= e.ts - INTERVAL 6 HOUR ORDER BY q.ts DESC, q.event_id DESC LIMIT 1) p ON true""")
 def asof_latest_experience(t):
     errors, clicks = t("events").where("event_type = 'error'").select("event_id", "user_id", "ts"), t("events").where("event_type = 'click'")
+    errors = errors.unionAll(errors)  # equal rows stay as many as they are
     return relational.asof_join(errors, clicks, ["user_id"], "ts", "value", 6 * 3600, "event_id").select("event_id", "user_id", "value_asof")
 
 
@@ -454,12 +482,10 @@ def status_rollup(t):
     return relational.status_rollup(t("events").withColumn("st", F.when(F.col("event_type") == "error", "error").otherwise("success")), ["user_id"], "st")
 
 
-@_query("SELECT event_id, round(sum(value) OVER w, 2) AS running_sum, count(*) OVER w AS running_count FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+@_query("SELECT event_id, round(sum(value) OVER w, 2) AS running_sum, count(value) OVER w AS running_count, floor(avg(value) OVER w * 1000 + 0.00037::DOUBLE) / 1000 AS running_avg FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def running_avg(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t("events").select("event_id", _r(F.sum("value").over(w), 2).alias("running_sum"), F.count("*").over(w).alias("running_count"))
+    found = relational.running(t("events"), ["user_id"], "ts", "event_id", "value")
+    return found.select("event_id", _r(F.col("running_sum"), 2).alias("running_sum"), "running_count", (F.floor(F.col("running_avg") * 1000 + 0.00037) / 1000).alias("running_avg"))
 
 
 @_query("""WITH l AS (SELECT document_id, lower(document_type) AS document_type, max(chunks_stored) AS chunks_stored, max(updated_at) AS updated_at FROM document_metadata GROUP BY ALL),
@@ -608,12 +634,21 @@ def search_cascade(t):
     return rewrite.first_with_rows([own.where(F.contains("page_content", F.lit("no such words"))), own, t("chunks").select("chunk_key", "page_content")]).select("chunk_key", "strategy")
 
 
-@_query("SELECT page_key, CASE WHEN n < 500 THEN 'full' WHEN n < 3000 OR n / 2.0 < 500 THEN 'selective' WHEN n < 8000 THEN 'minimal' ELSE 'skip' END AS mode FROM (SELECT page_key, length(page_content) AS n FROM scanned_pages)")
+@_query("""WITH k AS (SELECT page_key, length(page_content) * (1 + page_key % 13) AS n, page_key % 4 + 1 AS pages, ['pdf', 'image', 'pptx', 'excel', 'doc'][page_key % 5 + 1] AS kind FROM scanned_pages)
+SELECT page_key, CASE WHEN kind = 'image' THEN 'full' WHEN kind = 'pptx' THEN CASE WHEN n > 1000 THEN 'selective' ELSE 'full' END WHEN kind = 'excel' THEN CASE WHEN n > 2000 THEN 'minimal' ELSE 'selective' END
+ WHEN n < 500 THEN 'full' WHEN n < 3000 OR n::DOUBLE / pages < 500 THEN 'selective' WHEN n < 8000 THEN 'minimal' ELSE 'skip' END AS mode FROM k""")
 def ocr_mode(t):
-    return t("scanned_pages").select("page_key", ocr.mode(F.lit("pdf"), F.length("page_content"), F.lit(2)).alias("mode"))
+    key = F.col("page_key")
+    kind = F.element_at(F.array(*map(F.lit, ["pdf", "image", "pptx", "excel", "doc"])), (key % 5 + 1).cast("int"))
+    return t("scanned_pages").select("page_key", ocr.mode(kind, F.length("page_content") * (1 + key % 13), key % 4 + 1).alias("mode"))
 
 
-@_query()
+_UNFENCED = """WITH l AS (SELECT chunk_key, unnest(string_split({text}, chr(10))) AS line, generate_subscripts(string_split({text}, chr(10)), 1) AS i FROM chunks WHERE page_content IS NOT NULL),
+f AS (SELECT *, starts_with(ltrim(line), '```') AS fence, sum(starts_with(ltrim(line), '```')::INT) OVER (PARTITION BY chunk_key ORDER BY i) AS n FROM l)
+SELECT chunk_key, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT fence AND n % 2 = 0), '') AS body FROM f GROUP BY chunk_key"""
+
+
+@_query(_UNFENCED.format(text="page_content") + " UNION ALL SELECT chunk_key, NULL FROM chunks WHERE page_content IS NULL")
 def without_code_blocks(t):
     return t("chunks").select("chunk_key", ocr.without_fenced(F.col("page_content")).alias("body"))
 

@@ -156,3 +156,28 @@ def test_segments_and_sections(spark):
     from skein.operators.retrieval import reward
 
     assert one(spark, reward(F.length("a"), F.lit(1.0)), a="x" * 500) == pytest.approx(0.85)
+
+
+def test_misread_signs_equal_the_rules_in_python(spark):
+    import re
+
+    from skein.functions import formats
+
+    texts = ["a\n \nb  c", "한글  말", "v0l and Ol", "it’s “x”", "1l 1 21", "corn arm", "5O o7 oO", "", "x" * 3000 + "  1"]
+    steps = [(r"\n\s*\n", "\n"), (r"(?<![가-힣])\s{2,}(?![가-힣])", " "), ("0l|Ol", "01"), ('[“”"]', '"'), ("[‘’']", "'"), ("1l", "11"), (r"(?<!\d)1(?!\d)", "I"), ("rn|m", "m"), (r"(?<=\d)O|o(?=\d)", "0")]
+
+    def plain(text):
+        for pattern, by in steps:
+            text = re.sub(pattern, by, text)
+        return text.strip()
+
+    got = [r["x"] for r in spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select(formats.misread_signs(F.col("t")).alias("x")).collect()]
+    assert got == [*map(plain, texts), None]
+
+
+def test_formats_of_nothing(spark):
+    from skein.functions import formats
+
+    t = F.col("t")
+    row = spark.createDataFrame([(None, None)], "t string, n int").select(formats.truncated(t).alias("a"), formats.file_label(t).alias("b"), formats.image_context(t, "pdf").alias("c"), formats.meaningful_words(t).alias("d"), formats.readable_lines(t).alias("e"), formats.document_lines(t).alias("f"), formats.embeddable(t).alias("g"), formats.mentions_code(t, t).alias("h"), formats.strategy(t, F.col("n"), F.col("n")).alias("i"), formats.screenshot_line(t, True).alias("j")).first()
+    assert tuple(row) == (None, "", "general", "", "", "", False, False, "skip", "")

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skein.operators import conversations, corpus, relational, retrieval
+from skein.operators import conversations, corpus, relational, retrieval, scoring, sessions
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -147,3 +147,85 @@ def test_spread_only_small_inputs_of_few_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(spread, "SMALL_BYTES", 1)
     assert spread.spread(rows).rdd.getNumPartitions() == 1
     assert spread.spread(spark.range(3)).count() == 3
+
+
+def test_asof_keeps_equal_left_rows_and_matches_nothing_on_nulls(spark):
+    left = spark.createDataFrame([(1, "a", at(10)), (1, "a", at(10)), (2, None, at(10)), (3, "a", None)], "k int, u string, ts timestamp")
+    right = spark.createDataFrame([(1, "a", at(5), 1.0), (2, None, at(5), 9.0), (3, "a", None, 8.0), (4, "a", at(-3), 0.0)], "e int, u string, ts timestamp, v double")
+    got = sorted((r["k"], r["v_asof"], r["age_seconds"]) for r in relational.asof_join(left, right, ["u"], "ts", "v", 600, "e").collect())
+    assert got == [(1, 1.0, 300.0), (1, 1.0, 300.0), (2, None, None), (3, None, None)]
+    assert relational.asof_join(left, right.limit(0), ["u"], "ts", "v", 600, "e").count() == 4 and relational.asof_join(left.limit(0), right, ["u"], "ts", "v", 600, "e").count() == 0
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 60)), max_size=15), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 60)), max_size=15))
+def test_asof_equals_brute_force(spark, asked, known):
+    left = spark.createDataFrame([(k, u, at(m)) for k, (u, m) in enumerate(asked)], "k int, u int, ts timestamp")
+    right = spark.createDataFrame([(k, u, at(m), float(k)) for k, (u, m) in enumerate(known)], "e int, u int, ts timestamp, v double")
+    got = {r["k"]: r["v_asof"] for r in relational.asof_join(left, right, ["u"], "ts", "v", 7 * 60, "e").collect()}
+    want = {k: max(((m2, e) for e, (u2, m2) in enumerate(known) if u2 == u and m - 7 <= m2 <= m), default=(0, None))[1] for k, (u, m) in enumerate(asked)}
+    assert got == {k: None if e is None else float(e) for k, e in want.items()}
+
+
+def test_prefixes_may_be_empty_or_null(spark):
+    rows = spark.createDataFrame([(1, "alpha"), (2, "alps"), (3, "beta"), (4, None)], "k int, c string")
+    names = spark.createDataFrame([("alpha", "x"), ("al?", "alp"), ("any", ""), ("none", None), ("long", "alphabetic")], "name string, prefix string")
+    got = {(r["name"], r["k"], r["match"]) for r in relational.exact_or_prefix(rows, names, "c").collect()}
+    assert got == {("alpha", 1, "exact"), ("al?", 1, "prefix"), ("al?", 2, "prefix"), *(("any", k, "prefix") for k in (1, 2, 3))}
+
+
+def test_batches_with_an_outlier(spark):
+    rows = spark.createDataFrame([(k,) for k in [*range(500), 10**15]], "k long")
+    got = [r["batch_no"] for r in relational.batches(rows, "k", 100, 8).orderBy("k").collect()]
+    assert got == [k // 100 for k in range(501)]
+
+
+def test_running_over_cells_equals_one_window(spark):
+    rows = spark.createDataFrame([(k, k % 2, at(k * 500), float(k) if k % 3 else None) for k in range(40)], "k int, u int, ts timestamp, v double")
+    got = {r["k"]: (r["running_sum"], r["running_count"]) for r in relational.running(rows, ["u"], "ts", "k", "v").collect()}
+    for k in range(40):
+        seen = [float(j) for j in range(k + 1) if j % 2 == k % 2 and j % 3]
+        assert got[k] == (sum(seen), len(seen))
+
+
+def test_top_k_each_in_blocks_of_queries(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(k, [rng.random(), rng.random(), None if k == 5 else 0.5]) for k in range(60)] + [(90, None), (91, [0.0, 0.0, 0.0])], "k int, embedding array<double>")
+    queries = rows.where("k < 7 or k > 80").select(F.col("k").alias("q"), F.col("embedding").alias("query_vector"))
+    whole = sorted(map(tuple, retrieval.top_k_each(queries, rows, 4, "q", "k").collect()))
+    assert len(whole) == 28 and all(r[0] == r[1] for r in whole if r[3] == 1)
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 2)
+    assert sorted(map(tuple, retrieval.top_k_each(queries, rows.repartition(7), 4, "q", "k").collect())) == whole
+    assert retrieval.top_k_each(queries.limit(0), rows, 4, "q", "k").count() == 0 == retrieval.top_k_each(queries, rows.limit(0), 4, "q", "k").count()
+
+
+def test_frequency_bounds():
+    assert corpus.frequency_bounds(3) == (1, 0.9) and corpus.frequency_bounds(1000) == (3, 0.9) and corpus.frequency_bounds(40) == (2, 0.875) and corpus.frequency_bounds(8) == (1, 0.6) and corpus.frequency_bounds(90, 2) == (2, 0.8)
+
+
+def test_scores_of_lists(spark):
+    terms = scoring.term_arrays(*[spark.createDataFrame([(x,) for x in words], "term string") for words in (["disk", "tape"], ["-l"], ["full disk"])])
+    rows = spark.createDataFrame([("g", 1, "The full disk: x"), ("g", 2, None), ("g", 3, "tape -l disk"), ("h", 4, "one")], "g string, k int, t string")
+    got = {r["g"]: r for r in scoring.list_features(rows, "g", "t", terms).collect()}
+    assert len(got["g"]["features"]) == scoring.STATE and got["g"]["domain_max"] == 0.2 and got["g"]["technical"] == 0.1 and got["g"]["phrases"] == 0.2 and got["h"]["domain_avg"] == 0
+    ranked = {r["k"]: (r["final_score"], r["place"]) for r in scoring.final_ranking(rows, "g", "k", "t", "full tape", F.array().cast("array<string>"), terms).collect()}
+    assert ranked[4] == (1.0, 1) and ranked[2][1] == 3 and ranked[1][0] > 0.6
+    chances = spark.range(1).select(scoring.best_places(scoring.boosted(F.array(F.lit(0.5), F.lit(0.45), F.lit(0.5)), F.array(F.lit(1))), 2).alias("p"))
+    assert chances.first()["p"] == [1, 0]
+    assert scoring.relevant_chunks(rows, "full disk tape", "k", "t", "g", terms, spark.createDataFrame([("disk",)], "term string"), F.array().cast("array<string>")).count() == 3
+
+
+def test_sessions_and_translation(spark):
+    rows = spark.createDataFrame([(1, "u", at(0)), (2, "u", at(5)), (3, "v", at(1))], "k int, u string, ts timestamp")
+    opened = {r["k"]: r["is_active"] for r in sessions.open_sessions(rows, "u", "ts", "k").collect()}
+    assert opened == {1: False, 2: True, 3: True}
+
+    def model(texts):
+        if "bad" in texts:
+            raise RuntimeError("no")
+        return [x[::-1] for x in texts]
+
+    texts = spark.createDataFrame([("ab",), (None,), ("",), ("bad",), ("cd",)], "t string").coalesce(1)
+    assert [r["t"] for r in sessions.translated(texts, ["t"], model, 2).collect()] == ["ba", None, "", "bad", "dc"]
+    stored = spark.createDataFrame([(1, 2)], "conv_id int, turns int")
+    assert sessions.delete_chats(stored, stored).count() == 0 and sessions.save_chats(stored, stored, F.current_timestamp()).count() == 1

@@ -77,10 +77,28 @@ def test_chunk_table(spark, tmp_path):
     assert sorted(r["id"] for r in table.read().collect()) == ["a", "b", "c"] and table.read().where("id = 'b' and n = 9").count() == 0
     table.delete(F.col("id") == "a")
     assert sorted(r["id"] for r in table.read().collect()) == ["b", "c"]
-    table.delete(F.lit(None).cast("boolean"))
+    assert table.delete(F.lit(None).cast("boolean")) == {"status": "not_found", "deleted": 0}
     assert table.read().count() == 2
 
 
+def test_chunk_table_adds_without_rewriting(spark, tmp_path):
+    table = tables.ChunkTable(spark, str(tmp_path / "t"))
+    assert table.delete(F.lit(True)) == {"status": "not_found", "deleted": 0}
+    rows = lambda *x: spark.createDataFrame([*x], "id string, document int, text string, kind string")
+    assert table.insert(rows(("a", 1, "x", "k"), ("b", 1, "y", "k"))) == {"status": "success", "added": 2}
+    first = table._parts()
+    old = table.read()
+    assert table.insert(rows(("c", 2, "z", "k"), ("a", 1, "no", "k"))) == {"status": "success", "added": 1} and table._parts()[:1] == first
+    assert table.update(F.col("id") == "c", kind=F.lit("new")) == {"status": "success", "updated": 1} and table._parts()[:1] == first
+    assert table.update_document("document", 1, rows(("a", 1, "x", "m"), ("b", 1, "y", "m"))) == {"status": "success", "change": "metadata"}
+    assert {tuple(r) for r in table.read().collect()} == {("a", 1, "x", "m"), ("b", 1, "y", "m"), ("c", 2, "z", "new")}
+    assert table.update_document("document", 1, rows(("d", 1, "w", "m"))) == {"status": "success", "change": "content"}
+    assert table.delete(F.col("document") == 2) == {"status": "success", "deleted": 1} and [r["id"] for r in table.read().collect()] == ["d"]
+    assert old.count() == 2  # an older version can still be read
+    table.vacuum()
+    assert [r["id"] for r in table.read().collect()] == ["d"]
+
+
 def test_payloads(spark, tmp_path):
     rows = spark.createDataFrame([('{"a": 1}',), ('{"a":',), (None,), ("",)], "j string")
     got = tables.parsed_json(rows, "j", T.StructType([T.StructField("a", T.IntegerType())])).collect()
