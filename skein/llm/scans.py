@@ -50,6 +50,9 @@ MISREAD_COST, TORN_COST, LOST_COST, UNKNOWN_COST, LETTER_COST, SYLLABLE_COST = 3
 
 #: Distinct words that a worker counts before it passes them on.
 COUNTED_WORDS = 200_000
+#: Known words that are sent to all workers at most.
+LEXICON_WORDS = 1_000_000
+FOUND_TYPE = "array<struct<word:string,n:bigint,longer:bigint,hyphened:bigint>>"
 NOISE_TYPE = "array<struct<line_no:int,noise:string>>"
 LINES_TYPE = "array<struct<line_no:int,skeleton:bigint,place:int,rest:int,head:string,broken:boolean,outer:boolean>>"
 
@@ -184,7 +187,7 @@ def page_lines(content: str, page_no: int | None) -> list[tuple[int, int | None,
 class Lexicon:
     """Known words with their counts, and the words that a misreading stands for."""
 
-    def __init__(self, counts: dict[str, int]) -> None:
+    def __init__(self, counts: dict[str, int], total: int | None = None, longest: int | None = None) -> None:
         self.counts = counts
         self.sorted = sorted(counts)
         self.before = [0, *itertools.accumulate(counts[w] for w in self.sorted)]
@@ -194,25 +197,37 @@ class Lexicon:
             while at > 0:
                 self.compound[w[:at]] = self.compound.get(w[:at], 0) + n
                 at = w.find("-", at + 1)
+        self.total = max(1, sum(counts.values())) if total is None else max(1, total)
+        self.longest = max(map(len, counts), default=0) if longest is None else longest
+        self._remember()
+
+    def _remember(self) -> None:
         self.meant = lru_cache(maxsize=300_000)(self._meant)
         self.fixed = lru_cache(maxsize=300_000)(self._fixed)
-        self.total, self.longest = max(1, sum(counts.values())), max(map(len, counts), default=0)
-        self.simple: dict[str, tuple[str, bool] | None] = {}
         self.reading = lru_cache(maxsize=300_000)(self._reading)
+        self.simple: dict[str, tuple[str, bool] | None] = {}
 
     def known(self, word: str) -> int:
         """How often a word stands in the corpus; a capital at its start does not matter."""
-        n = self.counts.get(word, 0)
+        n = self.count(word)
         if word[:1].isupper():
-            n = max(n, self.counts.get(word[:1].lower() + word[1:], 0))
+            n = max(n, self.count(word[:1].lower() + word[1:]))
             if word.isupper():
-                n = max(n, self.counts.get(word.lower(), 0), self.counts.get(word.capitalize(), 0))
+                n = max(n, self.count(word.lower()), self.count(word.capitalize()))
         return n
 
+    def count(self, word: str) -> int:
+        """How often a word stands in the corpus exactly so."""
+        return self.counts.get(word, 0)
+
+    def hyphened(self, part: str) -> int:
+        """How many words go on with a hyphen after ``part``."""
+        return self.compound.get(part, 0)
+
     def beginning(self, part: str) -> int:
         """How many words begin with ``part`` and go on, without a hyphen there."""
         a, b = bisect.bisect_right(self.sorted, part), bisect.bisect_right(self.sorted, part + "\U0010ffff")
-        return self.before[b] - self.before[a] - self.compound.get(part, 0)
+        return self.before[b] - self.before[a] - self.hyphened(part)
 
     def _variants(self, word: str) -> set[str]:
         out = set()
@@ -319,7 +334,7 @@ class Lexicon:
 
     def may_be_torn(self, chunk: str) -> bool:
         """Whether a chunk is no word that is known or can be restored, so that a blank may have torn it off."""
-        return not (chunk in self.counts or len(chunk) < 2 or _core(chunk)[1] != chunk or self.known(chunk) >= KNOWN_LEAST or is_code(chunk) or self.fixed(chunk) != chunk)
+        return not (self.count(chunk) or len(chunk) < 2 or _core(chunk)[1] != chunk or self.known(chunk) >= KNOWN_LEAST or is_code(chunk) or self.fixed(chunk) != chunk)
 
     def joined(self, left: str, right: str) -> str | None:
         """The word that was broken into ``left`` and ``right`` at the end of a line; None if the hyphen is its own."""
@@ -338,14 +353,38 @@ class Lexicon:
             return meant
         if is_code(left) or right[:1].isupper() and not whole.isupper() or left.isupper() and right.isupper() and len(left) > 1:
             return None
-        if self.compound.get(left, 0) > 4 * self.beginning(left):
+        if self.hyphened(left) > 4 * self.beginning(left):
             return None
         apart_cost = self.cost(left) + self.cost(right) + LOST_COST
         return None if len(left) > 3 and len(right) > 3 and apart_cost < self.cost(whole) else whole
 
     def open_end(self, left: str) -> bool:
         """Whether a page that ends with ``left`` and a hyphen ends inside a broken word, the next page being lost."""
-        return len(left) > 1 and left[-1].isalpha() and not is_code(left) and self.beginning(left) >= self.compound.get(left, 0)
+        return len(left) > 1 and left[-1].isalpha() and not is_code(left) and self.beginning(left) >= self.hyphened(left)
+
+
+class PageLexicon(Lexicon):
+    """The commonest words, and those of the others that a page has asked for; what it asks for besides is noted in ``asked``."""
+
+    def __init__(self, common: Lexicon, found: dict[str, tuple[int, int, int]]) -> None:
+        self.common, self.found, self.asked = common, found, set()
+        self.total, self.longest = common.total, common.longest
+        self._remember()
+
+    def _found(self, word: str) -> tuple[int, int, int]:
+        if word not in self.found:
+            self.asked.add(word)
+        return self.found.get(word, (0, 0, 0))
+
+    def count(self, word: str) -> int:
+        return self.common.counts.get(word) or (self._found(word)[0] if 0 < len(word) <= self.longest else 0)
+
+    def hyphened(self, part: str) -> int:
+        return self.common.hyphened(part) + self._found(part)[2]
+
+    def beginning(self, part: str) -> int:
+        _, longer, hyphened = self._found(part)
+        return self.common.beginning(part) + longer - hyphened
 
 
 def _core(chunk: str) -> tuple[int, str]:
@@ -562,11 +601,52 @@ def word_counts(pages: DataFrame, text: str = "page_content") -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def known_words(pages: DataFrame, text: str = "page_content") -> dict[str, int]:
+def known_words(pages: DataFrame, text: str = "page_content") -> DataFrame:
     """All words that occur ``KNOWN_LEAST`` times or more, with their counts; numbers are none."""
     letters = F.col("word").rlike(r"[\p{L}]") & ~F.col("word").rlike(r"\d{3}")
-    counts = durable(word_counts(pages, text).where((F.col("n") >= KNOWN_LEAST) & letters))
-    return {r["word"]: r["n"] for r in counts.toLocalIterator()}
+    return durable(word_counts(pages, text).where((F.col("n") >= KNOWN_LEAST) & letters))
+
+
+def _with_words(rows: DataFrame, pages: DataFrame, key: str, page: str, text: str):
+    """``(rows, lexicon)``: the rows to decode with their column ``found``, and for a worker the lexicon of a row by it.
+
+    Up to ``LEXICON_WORDS`` known words are sent to all workers.  Of more words the
+    commonest are, and each page is decoded to see which other words it asks for;
+    these are joined on, until no page asks for another one.  The result is that of
+    the whole lexicon.
+    """
+    context = pages.sparkSession.sparkContext
+    words = known_words(pages, text)
+    sums = words.agg(F.count("*").alias("n"), F.sum("n").alias("total"), F.max(F.length("word")).alias("longest")).first()
+    if sums["n"] <= LEXICON_WORDS:
+        shared = context.broadcast(({r["word"]: r["n"] for r in words.toLocalIterator()}, sums["total"] or 0, sums["longest"] or 0))
+        return rows.withColumn("found", F.lit(None).cast(FOUND_TYPE)), lambda found: _lexicon(shared)
+    common = words.orderBy(F.desc("n"), "word").limit(LEXICON_WORDS)
+    shared = context.broadcast(({r["word"]: r["n"] for r in common.toLocalIterator()}, sums["total"], sums["longest"]))
+    last = min((n, w) for w, n in shared.value[0].items())[0]
+    least = max(w for w, n in shared.value[0].items() if n == last)
+    rare = words.where((F.col("n") < last) | (F.col("n") == last) & (F.col("word") > least))
+    lexicon_of = lambda found: PageLexicon(_lexicon(shared), {x["word"]: (x["n"], x["longer"], x["hyphened"]) for x in found or ()})
+
+    def ask(texts: pa.Array, numbers: pa.Array, headers: pa.Array, heads: pa.Array, found: pa.Array) -> pa.Array:
+        out = []
+        for t, p, h, n, f in zip(texts.to_pylist(), numbers.to_pylist(), headers.to_pylist(), heads.to_pylist(), found.to_pylist()):
+            lexicon = lexicon_of(f)
+            decode(t, set(h or ()), n, p, lexicon)
+            out.append(sorted(lexicon.asked))
+        return pa.array(out, pa.list_(pa.string()))
+
+    known = None
+    while True:
+        held = rows.withColumn("found", F.lit(None).cast(FOUND_TYPE)) if known is None else rows.join(known.groupBy(key).agg(F.collect_list(F.struct("word", "n", "longer", "hyphened")).alias("found")), key, "left")
+        asked = durable(held.select(key, F.explode(F.arrow_udf(ask, "array<string>")(text, F.col(page).cast("int"), "header_lines", "next_head", "found")).alias("word")))
+        if asked.limit(1).count() == 0:
+            return held, lexicon_of
+        wanted = asked.select("word").distinct()
+        starts = rare.select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("_at")).select("n", F.substring("word", F.lit(1), F.col("_at")).alias("word"), F.col("_at") == F.length("word"), F.substring("word", F.col("_at") + 1, F.lit(1)).alias("_next")).toDF("n", "word", "_whole", "_next")
+        sums_of = starts.join(wanted, "word", "left_semi").groupBy("word").agg(*[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(name) for name, c in (("n1", F.col("_whole")), ("longer", ~F.col("_whole")), ("hyphened", (F.col("_next") == "-") & ~F.col("_whole")))])
+        answer = asked.join(sums_of, "word", "left").select(key, "word", F.coalesce("n1", F.lit(0)).alias("n"), F.coalesce("longer", F.lit(0)).alias("longer"), F.coalesce("hyphened", F.lit(0)).alias("hyphened"))
+        known = durable(answer if known is None else known.unionByName(answer))
 
 
 def _lines_udf(texts: pa.Array, pages: pa.Array) -> pa.Array:
@@ -649,7 +729,7 @@ def _lexicon(shared) -> Lexicon:
     """The lexicon of broadcast counts, made once in each worker; the counts are kept, so others are never taken for them."""
     value = shared.value
     if not _lexicons or _lexicons[0][0] is not value:
-        _lexicons[:] = [(value, Lexicon(value))]
+        _lexicons[:] = [(value, Lexicon(*value))]
     return _lexicons[0][1]
 
 
@@ -660,17 +740,15 @@ def find_noise(pages: DataFrame, key: str = "page_key", file: str = "file_id", p
     twice; a header needs three different pages.  Pages with null text give no
     row; a page without file or number has no neighbours.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(known_words(pages, text))
+    rows, lexicon_of = _with_words(_with_frames(pages, key, file, page, text), pages, key, page, text)
 
-    def run(texts: pa.Array, numbers: pa.Array, headers: pa.Array, heads: pa.Array) -> pa.Array:
-        lexicon = _lexicon(shared)
-        rows = zip(texts.to_pylist(), numbers.to_pylist(), headers.to_pylist(), heads.to_pylist())
-        found = [decode(t, set(h or ()), n, p, lexicon)[0] for t, p, h, n in rows]
+    def run(texts: pa.Array, numbers: pa.Array, headers: pa.Array, heads: pa.Array, words: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), numbers.to_pylist(), headers.to_pylist(), heads.to_pylist(), words.to_pylist())
+        found = [decode(t, set(h or ()), n, p, lexicon_of(f))[0] for t, p, h, n, f in rows]
         kind = pa.list_(pa.struct([("line_no", pa.int32()), ("noise", pa.string())]))
         return pa.array([[{"line_no": a, "noise": b} for a, b in x] for x in found], kind)
 
-    rows = _with_frames(pages, key, file, page, text)
-    return rows.select(key, F.explode(F.arrow_udf(run, NOISE_TYPE)(text, F.col(page).cast("int"), "header_lines", "next_head")).alias("_n")).select(key, "_n.*")
+    return rows.select(key, F.explode(F.arrow_udf(run, NOISE_TYPE)(text, F.col(page).cast("int"), "header_lines", "next_head", "found")).alias("_n")).select(key, "_n.*")
 
 
 def repaired_paragraphs(pages: DataFrame, key: str = "page_key", file: str = "file_id", page: str = "page_no", text: str = "page_content") -> DataFrame:
@@ -680,14 +758,13 @@ def repaired_paragraphs(pages: DataFrame, key: str = "page_key", file: str = "fi
     the end of a page is one paragraph; it belongs to the page it begins on.
     """
     once = pages.where(F.col(text).isNotNull()).groupBy(file, page).agg(F.min_by(F.struct(key, text), key).alias("_p")).select(F.col(f"_p.{key}").alias(key), file, page, F.col(f"_p.{text}").alias(text))
-    shared = pages.sparkSession.sparkContext.broadcast(known_words(pages, text))
+    framed, lexicon_of = _with_words(_with_frames(once, key, file, page, text), pages, key, page, text)
     kind = "array<struct<paragraph:string,open:boolean,glue:boolean,small:boolean>>"
 
-    def run(texts: pa.Array, numbers: pa.Array, headers: pa.Array, heads: pa.Array) -> pa.Array:
-        lexicon = _lexicon(shared)
+    def run(texts: pa.Array, numbers: pa.Array, headers: pa.Array, heads: pa.Array, words: pa.Array) -> pa.Array:
         out = []
-        for t, p, h, n in zip(texts.to_pylist(), numbers.to_pylist(), headers.to_pylist(), heads.to_pylist()):
-            parts = paragraphs(decode(t, set(h or ()), n, p, lexicon)[1])
+        for t, p, h, n, f in zip(texts.to_pylist(), numbers.to_pylist(), headers.to_pylist(), heads.to_pylist(), words.to_pylist()):
+            parts = paragraphs(decode(t, set(h or ()), n, p, lexicon_of(f))[1])
             rows = []
             for part in parts:
                 glue = part[-1][2]
@@ -698,7 +775,7 @@ def repaired_paragraphs(pages: DataFrame, key: str = "page_key", file: str = "fi
         struct = pa.struct([("paragraph", pa.string()), ("open", pa.bool_()), ("glue", pa.bool_()), ("small", pa.bool_())])
         return pa.array(out, pa.list_(struct))
 
-    rows = _with_frames(once, key, file, page, text).select(file, page, F.posexplode(F.arrow_udf(run, kind)(text, F.col(page).cast("int"), "header_lines", "next_head")).alias("_at", "_x")).select(file, page, "_at", "_x.*")
+    rows = framed.select(file, page, F.posexplode(F.arrow_udf(run, kind)(text, F.col(page).cast("int"), "header_lines", "next_head", "found")).alias("_at", "_x")).select(file, page, "_at", "_x.*")
     rows = durable(rows)
     # A page's first paragraph goes on with the last of the page before if that one is open.
     ends = rows.groupBy(file, page).agg(F.max_by(F.struct("open", "glue"), "_at").alias("_end"))

@@ -106,7 +106,7 @@ def test_rare_words_are_known_at_any_size(spark):
     # 12 million words: "fail" with 8 occurrences keeps its count, so that it is no misreading of "tail" with 20.
     common = spark.range(300).selectExpr("repeat('backup ', 40000) AS page_content")
     rare = spark.createDataFrame([("fail " * 8,), ("tail " * 20,), ("once",)], "page_content string")
-    known = scans.known_words(common.unionByName(rare))
+    known = {r["word"]: r["n"] for r in scans.known_words(common.unionByName(rare)).collect()}
     assert known == {"backup": 12_000_000, "fail": 8, "tail": 20} and scans.Lexicon(known).meant("fail") is None
 
 
@@ -135,3 +135,20 @@ def test_lines_decoded_alone_read_as_in_one_stream(monkeypatch):
     fast = scans.decode(text, set(), None, 1, scans.Lexicon(counts))
     monkeypatch.setattr(scans.Lexicon, "alone", lambda self, chunk: None)
     assert scans.decode(text, set(), None, 1, scans.Lexicon(counts)) == fast
+
+
+def test_a_lexicon_too_large_to_send_gives_the_same(spark, monkeypatch):
+    """With seven common words in the workers and all others joined on, page by page."""
+    common = "the backup server starts every night and writes all changed files to disk before the window ends".split()
+    pages = []
+    for k in range(24):
+        body = " ".join(common[(k + j) % len(common)] for j in range(40))
+        text = f"Night Report\n{body} re-\nstored files-\nystem tbe backupserver wri tes nlght {k + 1}\nco-ordi-\nnated sys-\ntem {'restored system coordinated filesystem' if k % 2 else ''}\n{k + 1}"
+        pages.append((k, k // 12, k % 12 + 1, text))
+    df = spark.createDataFrame([*pages, (99, 5, 1, None)], "page_key long, file_id long, page_no int, page_content string")
+    noise = lambda: sorted(map(tuple, scans.find_noise(df).collect()))
+    paragraphs = lambda: sorted(map(tuple, scans.repaired_paragraphs(df).collect()))
+    whole = noise(), paragraphs()
+    assert {x[2] for x in whole[0]} >= {"hyphen", "header", "page_number"}
+    monkeypatch.setattr(scans, "LEXICON_WORDS", 7)
+    assert (noise(), paragraphs()) == whole
