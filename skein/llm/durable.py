@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,16 @@ def ready(spark: SparkSession) -> None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written once to the checkpoint folder, so that losing executors costs nothing and no stage runs twice."""
-    ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once, as a table, to the checkpoint folder, so that losing executors costs nothing and no stage runs twice.
+
+    Unlike ``checkpoint()``, which computes its rows once to count and once to write
+    them, a table is computed once, is compressed, and is read by column.  The
+    folder goes when the session ends.
+    """
+    spark = df.sparkSession
+    ready(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/skein-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)

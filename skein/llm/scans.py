@@ -668,11 +668,13 @@ def page_frames(pages: DataFrame, key: str = "page_key", file: str = "file_id",
     every = bones.groupBy("_file", "skeleton", "_page").agg(F.count("*").alias("_n")).groupBy("_file", "skeleton").agg(F.count("*").alias("_all"), F.sum("_n").alias("_all_lines"))
     size = sheets.where(F.size("_lines") > 0).select("_file", "_page").distinct().groupBy("_file").agg(F.count("*").alias("_size"))
     repeated = durable(every.where(f"_all >= {HEADER_PAGES}").join(size, "_file"))
-    depth = sheets.where(F.size("_lines") > 0).select("_key", F.lit(0).alias("_top"), F.lit(0).alias("_bottom"))
-    found, before = None, 0
-    while True:
+    depth, found, before = None, None, 0
+    for deepest in itertools.count():
+        # A round goes one line deeper at most, so only so many lines of a page are shuffled.
+        shallow = sheets.withColumn("_lines", F.filter("_lines", lambda x: F.least(x["place"], x["rest"]) <= deepest))  # noqa: B023
         at_edge = F.filter("_lines", lambda x: (x["place"] <= F.col("_top")) | (x["rest"] <= F.col("_bottom")))
-        edge = sheets.join(depth, "_key").select("_key", "_file", "_page", "_top", "_bottom", F.explode(at_edge).alias("_l")).select("_key", "_file", "_page", "_top", "_bottom", "_l.*")
+        deep_sheets = shallow.withColumns({"_top": F.lit(0), "_bottom": F.lit(0)}) if depth is None else shallow.join(depth, "_key")
+        edge = deep_sheets.select("_key", "_file", "_page", "_top", "_bottom", F.explode(at_edge).alias("_l")).select("_key", "_file", "_page", "_top", "_bottom", "_l.*")
         new = _headers(edge, repeated, found is not None).withColumn("_inner", F.lit(found is not None))
         found = durable(new if found is None else found.unionByName(new).groupBy("_file", "skeleton").agg(F.max("_inner").alias("_inner")))
         edge = durable(edge.join(found.withColumn("header", F.lit(True)), ["_file", "skeleton"], "left").withColumn("header", F.coalesce("header", F.lit(False)) & F.col("outer") & (F.col("_inner") | F.expr("place = 0 or rest = 0"))))
