@@ -141,7 +141,10 @@ def shown_tokens(tokens: Column, hidden: tuple[str, ...] = ("<think>", "###")) -
     return F.filter(tokens, lambda t: (t != "") & ~F.exists(F.array(*map(F.lit, hidden)), lambda h: F.contains(t, h)))
 
 
+#: How a text names a status code.
+CODE_PHRASES = ["Status Code ", "Status Code: ", "Code ", "ErrorCode "]
+
+
 def mentions_code(text: Column, code: Column) -> Column:
-    """Whether a text names a status code in one of the usual phrases, without case."""
-    low = F.lower(text)
-    return F.coalesce(F.exists(F.array(*map(F.lit, ("status code ", "error code ", "status ", "code: "))), lambda p: F.contains(low, F.concat(p, F.lower(code)))), F.lit(False))
+    """Whether a text names a status code in one of ``CODE_PHRASES``."""
+    return F.coalesce(F.exists(F.array(*map(F.lit, CODE_PHRASES)), lambda p: F.contains(text, F.concat(p, code))), F.lit(False))

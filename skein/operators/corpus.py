@@ -52,10 +52,11 @@ def tfidf_terms(docs: DataFrame, n: int = 1, min_df: int = 2, max_df: float = 0.
     """
     plain = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), terms(F.col(text), n).alias("_t"))
     count = plain.agg(F.count("*").alias("_n"))
-    # Both counts are combined before they are shuffled; only the words of the vocabulary are counted by document.
-    df = plain.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
-    total = plain.select(F.explode("_t").alias("term")).groupBy("term").agg(F.count("*").alias("total"))
-    known = df.join(total, "term").join(F.broadcast(count)).where(F.col("df") <= max_df * F.col("_n")).orderBy(F.desc("total"), "term").limit(vocabulary)
+    # Each document gives its different terms and all of its terms; both counts are combined before they are shuffled.
+    twice = plain.select(F.explode(F.array(F.struct(F.lit(1).alias("once"), F.array_distinct("_t").alias("terms")), F.struct(F.lit(0).alias("once"), F.col("_t").alias("terms")))).alias("_x"))
+    both = twice.select("_x.once", F.explode("_x.terms").alias("term")).groupBy("term").agg(F.sum("once").alias("df"), F.sum(1 - F.col("once")).alias("total"))
+    known = both.where(F.col("df") >= min_df).join(F.broadcast(count)).where(F.col("df") <= max_df * F.col("_n")).orderBy(F.desc("total"), "term").limit(vocabulary)
+    # Only the terms of the vocabulary are counted by document.
     known = known.withColumn("idf", F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1)
     tf = plain.select("_k", F.explode("_t").alias("term")).join(F.broadcast(known), "term").groupBy("_k", "term").agg(F.count("*").alias("tf"), *[F.first(c).alias(c) for c in ("df", "_n", "idf")])
     weighted = tf.withColumn("_w", F.col("tf") * F.col("idf"))

@@ -113,9 +113,10 @@ def shown_tokens(t):
     return t("chat_messages").select("message_id", F.array_join(formats.shown_tokens(F.split("content", " ")), " ").alias("shown"))
 
 
-@_query("SELECT chunk_key, coalesce(contains(lower(page_content), 'status code ' || c) OR contains(lower(page_content), 'error code ' || c) OR contains(lower(page_content), 'status ' || c) OR contains(lower(page_content), 'code: ' || c), false) AS named FROM (SELECT chunk_key, page_content, (chunk_key % 50)::VARCHAR AS c FROM chunks)")
+@_query("SELECT message_id, coalesce(" + " OR ".join(f"contains(x, '{p}' || c)" for p in formats.CODE_PHRASES) + ", false) AS named FROM (SELECT message_id, replace(content, 'status ', 'Code ') AS x, (message_id % 50)::VARCHAR AS c FROM chat_messages)")
 def mentioned_codes(t):
-    return t("chunks").select("chunk_key", formats.mentions_code(F.col("page_content"), (F.col("chunk_key") % 50).cast("string")).alias("named"))
+    said = F.replace("content", F.lit("status "), F.lit("Code "))
+    return t("chat_messages").select("message_id", formats.mentions_code(said, (F.col("message_id") % 50).cast("string")).alias("named"))
 
 
 @_query("SELECT resolve_id, created_at, regexp_replace(content, '\\s+', '_', 'g') <> '' AS any_text, substring(md5(content), 1, 10) AS short FROM resolve WHERE content IS NOT NULL")
@@ -239,10 +240,15 @@ def _top(t, k: int = 5):
     return retrieval.best_each(docs.select("source", "doc_id", "text", "hits"), "source", "doc_id", "hits", k)
 
 
-def _terms(t):
+def _short(found):
+    """A short list of terms, which is a top-k of its own, found once."""
+    return found.sparkSession.createDataFrame(found.select("term").collect(), "term string")
+
+
+def _terms(t, domain=None):
     docs = t("documents")
-    empty = docs.select(F.lit("").alias("term")).limit(0)
-    return scoring.term_arrays(corpus.domain_terms(docs), empty, corpus.domain_terms(docs, 2, 15))
+    domain = _short(corpus.domain_terms(docs)) if domain is None else domain
+    return scoring.term_arrays(domain, domain.limit(0), _short(corpus.domain_terms(docs, 2, 15)))
 
 
 @_query(f"""WITH dom AS MATERIALIZED ({_DOMAIN}), phr AS MATERIALIZED ({_PHRASES}), dl AS (SELECT coalesce(list(term), []) AS l FROM dom), pl AS (SELECT coalesce(list(term), []) AS l FROM phr), top AS ({_TOP}),
@@ -263,8 +269,8 @@ def final_ranking(t):
 
 @_query()
 def relevant_chunks(t):
-    docs = t("documents")
-    found = scoring.relevant_chunks(docs, FLAGSHIP_QUESTION, "doc_id", "text", "source", _terms(t), corpus.domain_terms(docs).select("term"), F.array().cast("array<string>"))
+    docs, domain = t("documents"), _short(corpus.domain_terms(t("documents")))
+    found = scoring.relevant_chunks(docs, FLAGSHIP_QUESTION, "doc_id", "text", "source", _terms(t, domain), domain, F.array().cast("array<string>"))
     return found.withColumn("final_score", _r(F.col("final_score")))
 
 
