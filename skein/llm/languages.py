@@ -36,7 +36,8 @@ NAMES = {
 SAMPLE_DOCS, SAMPLE_CHARS = 512, 4000
 #: Bytes of a dictionary.
 DICT_BYTES = 1 << 18
-LEVEL = 12
+#: How hard compressors search, and the size up to which dictionaries are searched so: over a quarter of a million bytes, a level stands for a weaker search.
+LEVEL, SEARCHED = 12, 200_000
 #: How often a language must have a sentence, against the one that has it most, to keep it.
 SHARED = 0.3
 #: Sentences that a worker remembers.
@@ -45,7 +46,7 @@ UNKNOWN = "und"
 SEGMENTS_TYPE = "array<struct<seg_start:int,seg_end:int,lang_code:string,confidence:double,sentences:int>>"
 
 #: Signs of code, what stands for an option, and names of programs; runs of Latin letters and signs in other scripts.
-_CODED, _OPTION, _NAMED = re.compile(r"[\d/\\_=<>$#@|{}\[\]`~^]"), re.compile(r"-{1,2}\w"), re.compile(r"\b[A-Z]{2,}(?:-[A-Z]+)*\b|\b[A-Z][a-z]+[A-Z]\w*\b")
+_CODED, _OPTION, _NAMED = re.compile(r"[\d/\\_=<>$#@|{}\[\]`~^]"), re.compile(r"[-‐]{1,2}\w"), re.compile(r"\b[A-Z]{2,}(?:-[A-Z]+)*\b|\b[A-Z][a-z]+[A-Z]\w*\b")
 _LATIN_RUN, _LATIN_LETTERS = re.compile(r"[A-Za-z0-9/\\_=<>$#@|{}\[\]`~^:.,+-]+"), re.compile(r"[A-Za-z]+")
 _STOP = re.compile(r"(?<![.!?])[.!?]++[\"”’»」』)]*(?=\s|$)|[。！？]+[\"”’»」』)]*|\n")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힣ｦ-ﾟ]")
@@ -115,10 +116,13 @@ class Compressors:
     def __init__(self, dictionaries: dict[str, bytes], scripts: dict[str, list[str]], level: int = LEVEL) -> None:
         self.scripts = scripts
         self.by: dict[str, zstandard.ZstdCompressor] = {}
+        # One search for all: by the size of each, a language would gain a tenth on others only because its dictionary is smaller.
+        size = min(SEARCHED, max(map(len, dictionaries.values()), default=0))
+        search = zstandard.ZstdCompressionParameters.from_level(level, dict_size=size, window_log=DICT_BYTES.bit_length(), write_content_size=False, write_checksum=False, write_dict_id=False)
         for lang, raw in sorted(dictionaries.items()):
             data = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            data.precompute_compress(level=level)
-            self.by[lang] = zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
+            data.precompute_compress(compression_params=search)
+            self.by[lang] = zstandard.ZstdCompressor(compression_params=search, dict_data=data)
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.sizes = lru_cache(maxsize=REMEMBERED)(self._sizes)
 
@@ -226,20 +230,27 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
                 halves[hash_of(x[0]) % 2][lang].append(x)
     clean: dict[str, list[tuple[str, str]]] = {lang: [] for lang in found}
     for half, other in (halves, halves[::-1]):
-        model = _build(other)
+        model = _build(other, count)
         for lang, parts in half.items():
             for words, script in parts:
                 best_lang, sure = best(model.sizes(words, script)[1])
                 if best_lang in (lang, UNKNOWN) or sure < 2 * FIRM:
                     clean[lang].append((words, script))
-    return _dictionaries(clean), _scripts(clean)
+    return _dictionaries(clean, count), _scripts(clean)
 
 
-def _dictionaries(found: dict[str, list[tuple[str, str]]]) -> dict[str, bytes]:
+def _dictionaries(found: dict[str, list[tuple[str, str]]], count: dict[tuple[str, str], Counter]) -> dict[str, bytes]:
+    """Whole sentences up to ``DICT_BYTES``: if not all fit, the commonest of each language."""
     out = {}
     for lang, parts in found.items():
-        raw = "\n".join(w.lower() for w, _ in sorted(set(parts), key=lambda x: hash_of(x[0]))).encode()
-        out[lang] = raw[:DICT_BYTES] or b"\n" * 16
+        lines, left = [], DICT_BYTES
+        for x in sorted(parts, key=lambda x: (-count[x][lang], hash_of(x[0]))):
+            line = x[0].lower().encode() + b"\n"
+            left -= len(line)
+            if left < 0:
+                break
+            lines.append(line)
+        out[lang] = b"".join(lines[::-1]) or b"\n" * 16  # the commonest last, where references to them are shortest
     return out
 
 
@@ -262,8 +273,8 @@ def _scripts(found: dict[str, list[tuple[str, str]]]) -> dict[str, list[str]]:
     return out
 
 
-def _build(found: dict[str, list[tuple[str, str]]]) -> Compressors:
-    return Compressors(_dictionaries(found), _scripts(found))
+def _build(found: dict[str, list[tuple[str, str]]], count: dict[tuple[str, str], Counter]) -> Compressors:
+    return Compressors(_dictionaries(found, count), _scripts(found))
 
 
 def language_segments(df: DataFrame, text: str, model: tuple[dict[str, bytes], dict[str, list[str]]], out: str = "segments") -> DataFrame:

@@ -93,6 +93,37 @@ def test_unknown_languages_are_rejected(model):
     assert languages.segments("", known) == [] and languages.segments("a" * 100_000, known) == []
 
 
+def test_dictionaries_of_any_size_are_searched_alike():
+    """A sentence of a dictionary is found in it, whether that is near its bound or smaller."""
+    rng = np.random.default_rng(6)
+    starts = ["el servidor de medios ", "la copia del catálogo ", "el agente del cliente "]
+    words = ["".join(rng.choice(list("abcdeilmnorstu"), int(rng.integers(2, 9)))) for _ in range(400)]
+    lines, size = [], 0
+    while size < languages.DICT_BYTES:
+        lines.append(starts[len(lines) % 3] + " ".join(rng.choice(words, 12)) + ".")
+        size += len(lines[-1].encode()) + 1
+    raw = "\n".join(lines).encode()
+    dictionaries = {"es": raw[: languages.DICT_BYTES], "pt": raw[: languages.DICT_BYTES * 7 // 8]}
+    known = languages.Compressors(dictionaries, {"latin": ["es", "pt"]})
+    sizes = [known.sizes(x, "latin")[1] for x in lines[: len(lines) * 3 // 4]]
+    assert max(s["es"] - s["pt"] for s in sizes) < languages.APART
+
+
+def test_a_full_dictionary_keeps_the_commonest_sentences(spark, monkeypatch):
+    monkeypatch.setattr(languages, "DICT_BYTES", 2000)
+    rng = np.random.default_rng(7)
+    common = [f"This {a} stands in many of the texts." for a in ("line", "note", "rule", "hint", "step", "word", "page", "part")]
+    rare = [f"The {''.join(rng.choice(list('abdeglmnorst'), 9))} was seen by {''.join(rng.choice(list('abdeglmnorst'), 8))} only." for _ in range(200)]
+    rows = [(" ".join([*common, *rare[5 * k : 5 * k + 5]]), "en") for k in range(40)]
+    lines = languages.train(spark.createDataFrame(rows, "text string, lang string"))[0]["en"].decode().splitlines()
+    assert {x.lower() for x in common} <= set(lines) <= {x.lower() for x in common + rare}
+    assert len("\n".join(lines)) <= 2000
+
+
+def test_commands_with_typographic_hyphens_are_no_prose():
+    assert {languages.prose(f"$ arcctl status {hyphen}l clt{hyphen}east{hyphen}14") for hyphen in "-‐‑"} == {("", "")}
+
+
 def test_another_model_in_the_same_worker_is_not_taken_for_the_first():
     class Shared:
         def __init__(self, value):
